@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,21 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
     return s
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per context; they may not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_clauseweave", None):
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="clauseweave-"))
+    shutil.copytree(root, at / "src" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(at / root.name), "zip", at / "src"))
+    sc._clauseweave = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder (a file or a folder of part files)."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
