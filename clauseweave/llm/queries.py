@@ -4,4 +4,4 @@ from clauseweave.plans.registry import Registry
 
 LLM = Registry()
 
-from clauseweave.llm import query_pages, query_records, query_texts  # noqa: E402, F401
+from clauseweave.llm import query_language, query_pages, query_records, query_texts  # noqa: E402, F401

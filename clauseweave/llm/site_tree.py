@@ -238,7 +238,7 @@ def fit_model(sample: pd.DataFrame, rounds: int = 3) -> np.ndarray:
 
 
 def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000) -> DataFrame:
-    """(page_id, node_id, name, importance, noise, residue) of each leaf.
+    """(page_id, node_id, role, heading, name, importance, noise, residue) of each leaf.
 
     importance: 0 to 1, high for the page's own text; noise: it is a contents-list entry, a page
     control, or its own and its branch's importance together are low; residue: it is what
@@ -250,7 +250,7 @@ def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000) -> DataFrame:
     """
     leaves = cut(style_tree(page_leaves(nodes)))
     n = leaves.count()
-    out = "page_id bigint, node_id int, name string, importance double, noise boolean, residue boolean"
+    out = "page_id bigint, node_id int, role string, heading boolean, name string, importance double, noise boolean, residue boolean"
     if not n:
         return leaves.sparkSession.createDataFrame([], out)
     part = min(1.0, fit_leaves / n)
@@ -266,7 +266,7 @@ def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000) -> DataFrame:
             z = 0.5 * s + 0.5 * branch_means(df, s)
             noise = (z < 0) | df["skip"].to_numpy()
             kinds = {t: kind_of(t) is not None for t in df["name"].unique()}
-            yield pd.DataFrame({"page_id": df["page_id"], "node_id": df["node_id"], "name": df["name"], "importance": 1 / (1 + np.exp(-np.where(df["skip"], np.minimum(z, -2), z))), "noise": noise, "residue": df["name"].map(kinds)})
+            yield pd.DataFrame({"page_id": df["page_id"], "node_id": df["node_id"], "role": df["role"], "heading": df["heading"], "name": df["name"], "importance": 1 / (1 + np.exp(-np.where(df["skip"], np.minimum(z, -2), z))), "noise": noise, "residue": df["name"].map(kinds)})
 
     rows = leaves.select("page_id", "branch", "node_id", "role", "text", "name", "toc", "heading").repartition("page_id").sortWithinPartitions("page_id", "node_id")
     return rows.mapInPandas(run, out)
