@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,15 +48,52 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, a laptop) a temporary folder of this machine is used.
+    """
+    sc = spark.sparkContext
+    at = sc._jsc.sc().getCheckpointDir()
+    if at.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clauseweave-", dir=os.environ.get("TMPDIR")))
+        at = sc._jsc.sc().getCheckpointDir()
+    return at.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it without its lineage.
+    """Checkpoint ``df`` in the shared folder and return it without its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) a temporary folder of this machine is used. A reliable checkpoint survives the loss
-    of executors, unlike ``localCheckpoint``.
+    For small or iterated results: the files go when the result is no longer referenced. A reliable
+    checkpoint survives the loss of executors, unlike ``localCheckpoint``.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clauseweave-", dir=os.environ.get("TMPDIR")))
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed Parquet table in the shared folder and return the table.
+
+    For large results that are read several times: columnar, so readers take only what they need,
+    and a fraction of a checkpoint's size. The tables go when the application ends.
+    """
+    spark = df.sparkSession
+    at = f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    _forget_at_exit(spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _forget_at_exit(spark: SparkSession, at: str) -> None:
+    sc = spark.sparkContext
+
+    def drop() -> None:
+        if sc._jsc is None:
+            return
+        try:
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001, S110 - the gateway may be gone already
+            pass
+
+    atexit.register(drop)
