@@ -6,7 +6,8 @@ from clauseweave.operators.hierarchy import SEPARATOR, descendants, resolve_hier
 from clauseweave.plans.registry import CORE
 from clauseweave.plans.session import table
 
-CLEAN = r"lower(trim(regexp_replace({0}, '[\s\x{{00a0}}]+', ' ', 'g')))"
+from clauseweave.queries.sqlparts import CLEAN
+
 EDGES = f"""
     links AS (SELECT policy_id, min({CLEAN.format('source')}) AS p, {CLEAN.format('target')} AS c FROM kg_edges
         WHERE policy_id IS NOT NULL AND {CLEAN.format('key')} = 'subsum' AND {CLEAN.format('source')} <> '' AND {CLEAN.format('target')} <> '' GROUP BY ALL),
