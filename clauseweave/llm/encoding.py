@@ -127,10 +127,19 @@ def _core(c):
     return F.regexp_replace(c, r"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$", "")
 
 
+def _odd_words(text: str):
+    """The distinct cores of the words with non-ASCII characters (those longer in bytes than in characters)."""
+    odd = F.filter(F.split(text, r"[ \t\r\n\f]+"), lambda w: F.octet_length(w) != F.length(w))
+    return F.array_distinct(F.transform(odd, _core))
+
+
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(core, freq): in how many texts each word occurs, over the whole corpus."""
-    each = df.select(F.array_distinct(F.transform(F.split(text, r"[ \t\r\n\f]+"), _core)).alias("w"))
-    return each.select(F.explode("w").alias("core")).where("core <> ''").groupBy("core").agg(F.count("*").alias("freq"))
+    """(core, freq): in how many texts each word with non-ASCII characters occurs, over the whole corpus.
+
+    What a misreading damages is never ASCII, so words of ASCII only are neither damaged nor
+    readings of damaged ones.
+    """
+    return df.select(F.explode(_odd_words(text)).alias("core")).where("core <> ''").groupBy("core").agg(F.count("*").alias("freq"))
 
 
 def bigrams(freq: DataFrame) -> dict[str, float]:
@@ -240,9 +249,8 @@ def damaged_words(df: DataFrame, text: str = "text", ratio: float = 4.0) -> Data
 
 def garbled_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The ``key`` of each text with at least one damaged character. Null and empty texts have none."""
-    d = df.select(key, text).where(F.col(text).rlike(SUSPECT))
     bad = cut(damaged_words(df.select(key, text), text))
-    have = d.select(key, F.explode(F.array_distinct(F.transform(F.split(text, r"[ \t\r\n\f]+"), _core))).alias("core")).where(F.col("core").rlike(SUSPECT))
+    have = df.select(key, F.explode(_odd_words(text)).alias("core"))
     return have.join(bad.select("core"), "core", "left_semi").select(key).distinct()
 
 
