@@ -102,7 +102,8 @@ def relations(tokens: DataFrame) -> DataFrame:
     """(doc, sent, parent, rel, child): dependencies in the few relations that rules speak of (COL-01, COL-04..07).
 
     Passive subjects are objects, "by" agents subjects; xcomp and ccomp are one; members of a coordination
-    share their first member's relations, and coordinated verbs its subject where they have none. An
+    share their first member's relations, and coordinated verbs its subject and a
+    later one's objects where they have none. An
     apposition takes over the relations of its head. An infinitive without a subject has its verb's object.
     """
     t = tokens.select(*T.SENTENCE, "i", "dep", "head", "lemma")
@@ -121,6 +122,11 @@ def relations(tokens: DataFrame) -> DataFrame:
     lent = e.where("rel = 'subj'").join(lead, [*T.SENTENCE, "parent"]).join(rest, [*T.SENTENCE, "first_i"]).select(*T.SENTENCE, F.col("other").alias("parent"), "rel", "child")
     have = e.where("rel = 'subj'").select(*T.SENTENCE, "parent").distinct()
     e = e.unionByName(lent.join(have, [*T.SENTENCE, "parent"], "left_anti")).distinct()
+    verbs = chain.join(tokens.where("pos = 'VERB'").select(*T.SENTENCE, "i"), [*T.SENTENCE, "i"], "left_semi")
+    lender = verbs.select(*T.SENTENCE, "first_i", F.col("i").alias("parent"))
+    things = e.where("rel = 'obj'").join(lender, [*T.SENTENCE, "parent"]).select(*T.SENTENCE, "first_i", F.col("parent").alias("owner"), "child")
+    shared = verbs.join(things, [*T.SENTENCE, "first_i"]).where("owner > i").select(*T.SENTENCE, F.col("i").alias("parent"), F.lit("obj").alias("rel"), "child")
+    e = e.unionByName(shared.join(e.where("rel = 'obj'").select(*T.SENTENCE, "parent"), [*T.SENTENCE, "parent"], "left_anti")).distinct()
     open_ = e.where("rel = 'xcomp'").select(*T.SENTENCE, "parent", F.col("child").alias("v"))
     objects = e.where("rel = 'obj'").select(*T.SENTENCE, "parent", "child")
     heirs = open_.join(objects, [*T.SENTENCE, "parent"]).select(*T.SENTENCE, F.col("v").alias("parent"), F.lit("subj").alias("rel"), "child")

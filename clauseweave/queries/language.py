@@ -97,7 +97,7 @@ def negation_scope(spark, folder):
 
 
 @q("collect_share_rules", """SELECT * FROM (VALUES ('a', 0, 0, 3, 'COLLECT'), ('a', 1, 0, 3, 'COLLECT'), ('a', 1, 5, 3, 'BE_SHARED'), ('a', 2, 7, 5, 'NOT_BE_SOLD'), ('b', 1, 4, 0, 'USE'), ('c', 0, 0, 5, 'COLLECT'), ('c', 0, 2, 5, 'BE_SHARED'),
-    ('c', 1, 1, 6, 'STORE'), ('c', 1, 1, 9, 'STORE'), ('c', 2, 0, 2, 'COLLECT'), ('d', 0, 5, 8, 'COLLECT'), ('d', 0, 10, 8, 'BE_SHARED')) t(doc, sent, src, dst, key)""")
+    ('c', 1, 1, 6, 'USE'), ('c', 1, 1, 9, 'USE'), ('c', 1, 1, 6, 'STORE'), ('c', 1, 1, 9, 'STORE'), ('c', 2, 0, 2, 'COLLECT'), ('d', 0, 5, 8, 'COLLECT'), ('d', 0, 10, 8, 'BE_SHARED')) t(doc, sent, src, dst, key)""")
 def collect_share_rules(spark, folder):
     """COL-01..17: micro-goldens of the fixture."""
     return S.statements(fixture(spark))
