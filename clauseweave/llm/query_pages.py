@@ -35,10 +35,10 @@ def p3_clean_leaves(spark, folder):
 
 @LLM.add("p1_found")
 def p1_found(spark, folder):
-    return judge_pages(table(spark, folder, "a11y_nodes")).where("noise and not residue").select("page_id", "node_id")
+    return judge_pages(table(spark, folder, "a11y_nodes"), residue_of="noise").where("noise and not residue").select("page_id", "node_id")
 
 
 @LLM.add("p1_main_leaves")
 def p1_main_leaves(spark, folder):
     """The text that remains of each page."""
-    return judge_pages(table(spark, folder, "a11y_nodes")).where("not noise and not residue").select("page_id", "node_id", "name", F.round("importance", 4).alias("importance"))
+    return judge_pages(table(spark, folder, "a11y_nodes"), residue_of="main").where("not noise and not residue").select("page_id", "node_id", "name", F.round("importance", 4).alias("importance"))

@@ -103,11 +103,11 @@ LATIN_SHORT = {"lorem", "ipsum", "dolor", "sit", "amet", "sed", "do", "ut", "et"
 
 
 @cache
-def automaton() -> ahocorasick.Automaton:
-    """All phrases; the value of each is (length, is it a message on its own)."""
+def automaton(all_phrases: bool = True) -> ahocorasick.Automaton:
+    """All phrases, or only messages; the value of each is (length, is it a message on its own)."""
     a = ahocorasick.Automaton()
     strong = {*ERRORS, *FILLERS, *SCRIPT_EXTRA, *(f"{x} {s}" for x, s in product(ASK, SCRIPT)), *(p.format(s) for p, s in product(NOTICE, SCRIPT))}
-    for p in AROUND:
+    for p in AROUND if all_phrases else ():
         a.add_word(p, (len(p), False))
     for p in strong:
         a.add_word(p, (len(p), True))
@@ -115,8 +115,13 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+TRIGGER = re.compile(r"[{}\[\]<>%$@#_|~?*«(&●]|XXXX|XX/|NaN|undefined|null|d[./-]m|y-m", re.I)  # without one of these no slot
+
+
 def has_slot(text: str) -> bool:
     """True if a template slot in ``text`` was never filled in."""
+    if not TRIGGER.search(text):
+        return False
     if STRONG_SLOT.search(text) or ASKING.search(text):
         return True
     for m in FIELD_SLOT.finditer(text):
@@ -134,6 +139,8 @@ def coverage(text: str) -> tuple[float, bool]:
     covered nor counted. A phrase counts only between word boundaries.
     """
     t = SPACE.sub(" ", text.replace("’", "'").replace("‘", "'").lower()).strip()
+    if next(automaton(False).iter(t), None) is None:
+        return 0.0, False
     seen = bytearray(len(t))
     found = False
     for end, (n, strong) in automaton().iter(t):
@@ -160,6 +167,8 @@ def is_dummy(text: str) -> bool:
         return False
     if len(words) >= 3 and len(set(words)) == 1:
         return True
+    if not any(LATIN.match(w) or w in LATIN_SHORT for w in words[:2]) and words[0] != words[len(words) // 2] and words[0] not in words[1:]:
+        return False
     if words[:2] == ["lorem", "ipsum"]:
         return True
     sentences = [x for x in (y.strip().lower() for y in re.split(r"[.!?…]+", text)) if x]
@@ -191,8 +200,11 @@ def mark_residue(df: DataFrame, text: str = "name", out: str = "residue", least:
     """
 
     def marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kinds: dict[str, str | None] = {}
         for s in batches:
-            kinds = {t: kind_of(t, least) for t in s.dropna().unique()}
+            if len(kinds) > 200_000:
+                kinds.clear()
+            kinds |= {t: kind_of(t, least) for t in s.dropna().unique() if t not in kinds}
             yield s.map(kinds).astype(object).where(s.notna(), None)
 
     return df.withColumn(out, F.pandas_udf(marks, "string")(F.col(text)))

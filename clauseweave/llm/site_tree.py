@@ -8,7 +8,8 @@ role sequences that it shows over the host. Both are exact, over all pages.
 A host with one page says nothing about itself, and teasers differ from page to page. So the
 importances of well-covered hosts are carried over: a logistic model over word features learns, from
 a bounded sample of pages, which texts stand in branches of high importance. A leaf is judged by its
-own text and by the mean of its branch; branches of low importance are removed.
+own text, by its importance in the tree of its host and by the mean of its branch; branches of low
+importance are removed.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from clauseweave.llm.residue import kind_of
-from clauseweave.plans.session import cut
+from clauseweave.plans.session import stash
 
 # Roles that open a branch of their own; a data cell without children doesn't.
 SECTIONS = {"section", "region", "landmark", "article", "group", "dialog", "alert", "alertdialog", "navigation", "main", "complementary", "contentinfo", "banner", "search", "form", "aside", "cell", "gridcell"}
@@ -39,6 +40,7 @@ CONTROLS = re.compile(
     re.I,
 )
 BITS = 18
+WORDS = re.compile(r"[^\W_]+|[^\w\s]")
 LEAF_SCHEMA = "site string, page_id bigint, policy_id string, node_id int, role string, style string, text string, name string, branch int, shape bigint, toc boolean, heading boolean, size int"
 
 
@@ -138,23 +140,35 @@ def style_tree(leaves: DataFrame) -> DataFrame:
     """
     host = F.coalesce("site", F.lit(""))
     policy = F.coalesce("policy_id", F.col("page_id").cast("string"))
-    x = leaves.withColumn("_host", host).withColumn("_style", F.xxhash64("style")).withColumn("_text", F.xxhash64("text"))
-    k = x.select("_host", "_style", "_text", policy.alias("_p")).distinct().groupBy("_host", "_style", "_text").agg(F.count("*").alias("k"))
-    m = x.select("_host", policy.alias("_p")).distinct().groupBy("_host").agg(F.count("*").alias("pages"))
-    tops = x.groupBy("_host", "page_id", "branch").agg(F.min("_style").alias("_top"), F.first("shape").alias("shape"))
-    seq = tops.groupBy("_host", "_top", "shape").agg(F.count("*").alias("n"))
-    ent = seq.groupBy("_host", "_top").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    ent = ent.select("_host", "_top", F.when(F.col("all") > 1, (F.log("all") - F.col("nlogn") / F.col("all")) / F.log("all")).otherwise(F.lit(1.0)).alias("presentation"))
-    share = k.join(m, "_host").select("_host", "_style", "_text", "pages", F.when(F.col("pages") > 1, 1 - F.log("k") / F.log("pages")).otherwise(F.lit(1.0)).alias("content"))
-    pres = tops.join(ent, ["_host", "_top"]).select("page_id", "branch", "presentation")
-    return x.join(share, ["_host", "_style", "_text"]).join(pres, ["page_id", "branch"]).drop("_host", "_style", "_text")
+    x = leaves.withColumn("_host", host).withColumn("_node", F.xxhash64(host, "style", "text")).withColumn("_policy", F.xxhash64(policy))
+    m = x.select("_host", "_policy").distinct().groupBy("_host").agg(F.count("*").alias("pages"))
+    k = x.select("_host", "_node", "_policy").distinct().groupBy("_host", "_node").agg(F.count("*").alias("k"))
+    share = k.join(m, "_host").select("_node", "pages", F.when(F.col("pages") > 1, 1 - F.log("k") / F.log("pages")).otherwise(F.lit(1.0)).cast("float").alias("content"))
+    tops = x.groupBy("page_id", "branch").agg(F.min(F.xxhash64(host, "style")).alias("_top"), F.first("shape").alias("_shape"))
+    seq = tops.groupBy("_top", "_shape").agg(F.count("*").alias("n"))
+    ent = seq.groupBy("_top").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    ent = ent.select("_top", F.when(F.col("all") > 1, (F.log("all") - F.col("nlogn") / F.col("all")) / F.log("all")).otherwise(F.lit(1.0)).cast("float").alias("presentation"))
+    pres = tops.join(ent, "_top").select("page_id", "branch", "presentation")
+    kept = [c for c in leaves.columns if c not in ("site", "policy_id", "style", "shape")]
+    return x.select(*kept, "_node").join(share, "_node").join(pres, ["page_id", "branch"]).drop("_node")
+
+
+MASK = (1 << BITS) - 1
+
+
+@lru_cache(200_000)
+def _hash(x: str) -> int:
+    return zlib.crc32(x.encode())
 
 
 def features(text: str, role: str, end: str) -> list[int]:
     """Hashed features of a leaf: words, pairs of words, whole text, role, length, last sign."""
-    w = re.findall(r"[^\W_]+|[^\w\s]", text)
-    f = {"w:" + x for x in w} | {f"b:{a} {b}" for a, b in zip(w, w[1:])} | {"t:" + text, "r:" + role, f"n:{min(12, len(w))}", "e:" + end}
-    return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in f]
+    h = [_hash(x) for x in WORDS.findall(text)]
+    f = {x & MASK for x in h}
+    f.update(((a * 1000003) ^ (b >> 3)) & MASK for a, b in zip(h, h[1:]))
+    f.add(zlib.crc32(text.encode(), 7) & MASK)
+    f.update((_hash("r:" + role) & MASK, _hash(f"n:{min(12, len(h))}") & MASK, _hash("e:" + end) & MASK))
+    return list(f)
 
 
 class Sparse:
@@ -182,6 +196,19 @@ class Sparse:
         return np.clip(s, -6, 6)
 
 
+def cached_scores(df: pd.DataFrame, w: np.ndarray, known: dict[tuple[str, str, str], float]) -> np.ndarray:
+    """Scores of leaves; each distinct (text, role, last sign) of a task is scored once."""
+    ends = [n.rstrip()[-1:] for n in df["name"]]
+    keys = [(t, r, "a" if e.isalnum() else e) for t, r, e in zip(df["text"], df["role"], ends, strict=True)]
+    if len(known) > 300_000:
+        known.clear()
+    new = list({k for k in keys if k not in known})
+    if new:
+        part = pd.DataFrame(new, columns=["text", "role", "name"])
+        known |= zip(new, Sparse(part).score(w).tolist(), strict=True)
+    return np.array([known[k] for k in keys])
+
+
 def fit_logistic(x: Sparse, y: np.ndarray, epochs: int = 4, rate: float = 0.3, l2: float = 1e-6, batch: int = 2048) -> np.ndarray:
     """Weights (and, last, the bias) by Adagrad over batches in a fixed random order."""
     w, g2 = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-8)
@@ -237,7 +264,7 @@ def fit_model(sample: pd.DataFrame, rounds: int = 3) -> np.ndarray:
     return w
 
 
-def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000) -> DataFrame:
+def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000, residue_of: str = "all") -> DataFrame:
     """(page_id, node_id, role, heading, name, importance, noise, residue) of each leaf.
 
     importance: 0 to 1, high for the page's own text; noise: it is a contents-list entry, a page
@@ -248,7 +275,8 @@ def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000) -> DataFrame:
     hash of page_id); the style tree and the judgement cover all pages. Null sites are one host,
     a null policy is the page's own. Pages without leaves give no rows, nor does an empty table.
     """
-    leaves = cut(style_tree(page_leaves(nodes)))
+    leaves = style_tree(stash(page_leaves(nodes)))
+    leaves = stash(leaves)
     n = leaves.count()
     out = "page_id bigint, node_id int, role string, heading boolean, name string, importance double, noise boolean, residue boolean"
     if not n:
@@ -260,13 +288,19 @@ def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000) -> DataFrame:
     shared = leaves.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores: dict[tuple[str, str, str], float] = {}
+        kinds: dict[str, bool] = {}
         for b in _pages(batches):
             df = prepare(b.reset_index(drop=True))
-            s = Sparse(df).score(shared.value)
+            s = cached_scores(df, shared.value, scores)
+            s = s - 1.5 * ((df["pages"] >= 4) & (df["content"] < 0.1) & ~df["heading"]).to_numpy()
             z = 0.5 * s + 0.5 * branch_means(df, s)
             noise = (z < 0) | df["skip"].to_numpy()
-            kinds = {t: kind_of(t) is not None for t in df["name"].unique()}
-            yield pd.DataFrame({"page_id": df["page_id"], "node_id": df["node_id"], "role": df["role"], "heading": df["heading"], "name": df["name"], "importance": 1 / (1 + np.exp(-np.where(df["skip"], np.minimum(z, -2), z))), "noise": noise, "residue": df["name"].map(kinds)})
+            if len(kinds) > 200_000:
+                kinds.clear()
+            asked = noise if residue_of == "noise" else ~noise if residue_of == "main" else np.ones(len(df), bool)
+            kinds |= {t: kind_of(t) is not None for t in df["name"][asked].unique() if t not in kinds}
+            yield pd.DataFrame({"page_id": df["page_id"], "node_id": df["node_id"], "role": df["role"], "heading": df["heading"], "name": df["name"], "importance": 1 / (1 + np.exp(-np.where(df["skip"], np.minimum(z, -2), z))), "noise": noise, "residue": df["name"].map(kinds).where(asked, None)})
 
-    rows = leaves.select("page_id", "branch", "node_id", "role", "text", "name", "toc", "heading").repartition("page_id").sortWithinPartitions("page_id", "node_id")
+    rows = leaves.select("page_id", "branch", "node_id", "role", "text", "name", "toc", "heading", "pages", "content").repartition("page_id").sortWithinPartitions("page_id", "node_id")
     return rows.mapInPandas(run, out)
