@@ -82,7 +82,9 @@ def word_features(word: str) -> list[int]:
 
 def tokens(sentence: str) -> list[str]:
     """Lower-case words, numbers (as 0) and signs; addresses are left out."""
-    return [("0" if t.isdigit() else t) for t in WORD.findall(ADDRESS.sub(" ", sentence).lower())]
+    if "@" in sentence or "." in sentence[:-1]:
+        sentence = ADDRESS.sub(" ", sentence)
+    return [("0" if t[0].isdigit() else t) for t in WORD.findall(sentence.lower())]
 
 
 def sentences(text: str) -> list[str]:
@@ -127,8 +129,13 @@ class Field:
         """
         n, k = len(seqs), len(LANGS)
         out: list[np.ndarray | None] = [None] * n
+        if emissions is None:
+            words = {x: i for i, x in enumerate(dict.fromkeys(x for q in seqs for x in q))}
+            table = np.array([self.emission(x) for x in words], np.float32).reshape(-1, k)
+            flat = np.fromiter((words[x] for q in seqs for x in q), np.int64)
+            starts = np.r_[0, np.cumsum([len(q) for q in seqs])]
         trans = np.zeros((k, k))
-        et = np.exp(self.t - self.t.max())
+        et = np.exp(self.t - self.t.max()).astype(np.float64 if emissions is not None else np.float32)
         order = sorted(range(n), key=lambda i: len(seqs[i]))
         s = 0
         while s < n:
@@ -141,10 +148,13 @@ class Field:
                     out[i] = np.zeros((0, k))
                 continue
             m = int(lens.max())
-            e = np.zeros((len(block), m, k))
-            for r, i in enumerate(block):
-                if len(seqs[i]):
-                    e[r, : len(seqs[i])] = emissions[i] if emissions is not None else np.array([self.emission(x) for x in seqs[i]])
+            if emissions is None:
+                at = np.minimum(starts[block][:, None] + np.arange(m), len(flat) - 1)
+                e = table[flat[at]]
+            else:
+                e = np.zeros((len(block), m, k))
+                for r, i in enumerate(block):
+                    e[r, : len(seqs[i])] = emissions[i]
             e = np.exp(e - e.max(2, keepdims=True))
             a, b = np.empty_like(e), np.ones_like(e)
             a[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
@@ -274,16 +284,17 @@ def train(sample: pd.DataFrame, per_language: int = 2_500) -> Field:
 def judge(field: Field, pieces: list[str]) -> list[tuple[int, float, int]]:
     """(language, confidence, words) of each sentence; language -1 without words."""
     toks = [tokens(p) for p in pieces]
-    out = []
-    for w, g in zip(toks, field.posteriors(toks), strict=True):
-        real = np.array([bool(LETTERS.match(x)) for x in w], bool)
-        if not real.any():
-            out.append((-1, 0.0, 0))
-            continue
-        m = g[real].mean(0)
-        k = int(m.argmax())
-        out.append((k, float(m[k]), int(real.sum())))
-    return out
+    if not toks:
+        return []
+    lens = np.array([len(w) for w in toks])
+    real = np.fromiter((x[0].isalpha() for w in toks for x in w), bool)
+    owner = np.repeat(np.arange(len(toks)), lens)
+    g = np.concatenate(field.posteriors(toks))[real]
+    n = np.bincount(owner[real], minlength=len(toks))
+    sums = np.stack([np.bincount(owner[real], g[:, k], len(toks)) for k in range(len(LANGS))], 1)
+    best = sums.argmax(1)
+    conf = sums[np.arange(len(toks)), best] / np.maximum(1, n)
+    return [(int(k), float(c), int(m)) if m else (-1, 0.0, 0) for k, c, m in zip(best, conf, n, strict=True)]
 
 
 PARTS = "part int, first int, last int, lang string, confidence double, words int, full boolean"
@@ -305,10 +316,10 @@ def label_parts(df: DataFrame, field: Field, key: list[str], text: str = "text",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, float, int]] = {}
-        digits = re.compile(r"\d+")
+        digits = re.compile("[1-9]")
         for b in batches:
-            split = [sentences(t) if isinstance(t, str) else [] for t in b[text]]
-            keys = [[digits.sub("0", s) for s in ss] for ss in split]
+            even = [digits.sub("0", t) if isinstance(t, str) else "" for t in b[text]]
+            keys = [sentences(t) for t in even]
             new = list({s for ks in keys for s in ks if s not in known})
             if len(known) > 300_000:
                 known.clear()
@@ -316,11 +327,11 @@ def label_parts(df: DataFrame, field: Field, key: list[str], text: str = "text",
             for s, v in zip(new, judge(shared.value, new), strict=True):
                 known[s] = v
             rows = []
-            for ids, t, ss, ks in zip(b[key].itertuples(index=False, name=None), b[text], split, keys, strict=True):
+            for ids, t, ks in zip(b[key].itertuples(index=False, name=None), even, keys, strict=True):
                 at, part, run_ = 0, 0, None
-                for s, ks_ in zip(ss, ks, strict=True):
+                for s in ks:
                     at = t.find(s, at)
-                    k, conf, n = known[ks_]
+                    k, conf, n = known[s]
                     if k >= 0:
                         full = n >= least_words and conf >= 0.5 and (not closed or bool(CLOSED.search(s)))
                         if run_ and run_[2] == k:

@@ -6,7 +6,7 @@ from clauseweave.llm.encoding import garbled_ids
 from clauseweave.llm.language import label_parts, stated, train
 from clauseweave.llm.queries import LLM
 from clauseweave.llm.site_tree import judge_pages
-from clauseweave.plans.session import cut, table
+from clauseweave.plans.session import cut, stash, table
 
 SAMPLE_ROWS = 6_000  # rows of each table from which the field is trained
 
@@ -20,10 +20,10 @@ def latest(df, key, by):
 def texts(spark, folder):
     """(documents, segments, page leaves) as (record_id, lang, text)."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    docs = docs.join(garbled_ids(docs.select("doc_id", "text")), "doc_id", "left_anti").select(F.col("doc_id").alias("record_id"), "lang", "text")
+    docs = docs.join(cut(garbled_ids(docs.select("doc_id", "text"))), "doc_id", "left_anti").select(F.col("doc_id").alias("record_id"), "lang", "text")
     seg = table(spark, folder, "segments").where("segment_type = 'TEXT' and size(tokens) >= 8").select("seg_uid", "lang", F.concat_ws(" ", "tokens").alias("text"), "loaded_at")
     seg = latest(seg, "seg_uid", "loaded_at").select(F.col("seg_uid").alias("record_id"), "lang", "text")
-    page = judge_pages(table(spark, folder, "a11y_nodes")).where("not noise and not residue and not heading and role not in ('heading', 'cell')")
+    page = judge_pages(table(spark, folder, "a11y_nodes"), residue_of="main").where("not noise and not residue and not heading and role not in ('heading', 'cell')")
     page = page.select(F.col("page_id").alias("record_id"), F.col("name").alias("text"))
     lang = latest(table(spark, folder, "a11y_tree").select("page_id", "lang", "loaded_at"), "page_id", "loaded_at")
     return docs, seg, page, lang.select(F.col("page_id").alias("record_id"), "lang")
@@ -38,7 +38,7 @@ def parts(spark, folder):
     import pandas as pd
 
     docs, seg, page, page_lang = texts(spark, folder)
-    docs, page = cut(docs), cut(page)
+    page = stash(page)
     field = train(pd.concat([sample_of(docs), sample_of(seg), sample_of(page.withColumn("lang", F.lit(None).cast("string")))]))
     key = ["record_type", "record_id"]
     out = [label_parts(x.withColumn("record_type", F.lit(t)), field, key, closed=t != "segment") for x, t in ((docs, "doc"), (seg, "segment"), (page, "page"))]
