@@ -44,7 +44,7 @@ def follow_to_root(links: DataFrame, child: str, parent: str, rounds: int = 40)
 
 
 SLOT = re.compile(r"%(\w+)%")
-GROUP = re.compile(r"\(([^()]*)\)(\?)?|(\w)\?")
+GROUP = re.compile(r"\(([^()]*)\)(\?)?|([\w-])\?")
 
 
 def expand_template(template: str, aliases: dict[str, str] | None = None) -> list[str]:
