@@ -82,7 +82,7 @@ FIELDS = set(
     tel telephone text title todo type updated url user value version web website year your yourdomain yourcompany mm yyyy xx tbd
     firma der nom de la société razón social nome azienda empresa naam bedrijf nazwa firmy название компании adresse datum fecha data""".split()
 )
-WORD = r"[\w.!/-]+(?:[ _-]+[\w./-]+){0,4}"
+WORD = r"[\w.!/-]{1,40}(?: +[\w./-]{1,40}){0,4}"  # bounded, so no text makes it slow
 OPEN_CLOSE = [(r"\{\{\{?", r"\}?\}\}"), (r"\[\[", r"\]\]"), (r"<<", r">>"), (r"&lt;", r"&gt;"), (r"\$\$", r"\$\$"), (r"@@", r"@@"), (r"\*\|", r"\|\*"), (r"<%=?", r"%>"), (r"\{%", r"%\}"), (r"\$\{", r"\}"), (r"#\{", r"\}"), (r"\{!", r"\}")]
 STRONG_SLOT = re.compile("|".join(rf"{a}\s*{WORD}\s*{b}" for a, b in OPEN_CLOSE) + r"|\{\{\s*\}\}|\[●\]|\[object Object\]|\bX{4,}\b|\?{4,}|_{5,}|\bXX/XX/(?:20)?XX(?:XX)?\b|\bdd[./-]mm[./-]yyyy\b|\byyyy-mm-dd\b|\bNaN\b|%\d?\$?[sd](?![\w])|\{\d\}|\[\w[\w -]*:\s*_*\s*\](?=\W|$)", re.I)
 FIELD_SLOT = re.compile(rf"<\s*({WORD})\s*>|«\s*({WORD})\s*»|\[\s*({WORD})\s*:?[ _…]*\]|\{{\s*({WORD})\s*\}}|\(\s*(your {WORD})\s*\)|%({WORD})%|(?<![^\s(])\|({WORD})\|(?![^\s.,;:)])|~\s*({WORD})\s*~|#\s*({WORD})\s*#|(?<!\w)__({WORD})__(?!\w)|\[\s*(?:todo|tbd|tbc|fixme)\s*:\s*({WORD})\s*\]", re.I)
