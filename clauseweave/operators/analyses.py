@@ -11,7 +11,7 @@ def consistency(probes: DataFrame, plain: DataFrame, extended: DataFrame, unspec
     """Each probe (policy_id, entity, datatype) with two statuses (ANA-06, GQ-21..23).
 
     plain and extended: (policy_id, entity, datatype) disclosed in the graph and in the graph with the
-    ontology. Collection asks whether anyone collects the type, policheck whether the entity does, or,
+    ontology. Collection asks whether anyone collects the type, entity whether the entity does, or,
     in the extended graph, an actor that the policy leaves unspecific.
     """
     flag = lambda d, name, *keys: d.select("policy_id", *keys).distinct().withColumn(name, F.lit(True))
@@ -24,7 +24,7 @@ def consistency(probes: DataFrame, plain: DataFrame, extended: DataFrame, unspec
     return j.select(
         "policy_id", "entity", "datatype",
         F.when(F.col("p_any"), "clear").when(F.col("e_any"), "vague").otherwise("omitted").alias("collection_consistency"),
-        F.when(F.col("p_own"), "clear").when(F.coalesce("e_own", "e_vague", F.lit(False)), "vague").otherwise("omitted").alias("policheck_consistency"),
+        F.when(F.col("p_own"), "clear").when(F.coalesce("e_own", "e_vague", F.lit(False)), "vague").otherwise("omitted").alias("entity_consistency"),
     )
 
 

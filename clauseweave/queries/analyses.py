@@ -15,7 +15,7 @@ CLASSES = "regexp_extract({0}, '([a-z]+)$', 1)"
 PROBE_SQL = "probes AS (SELECT DISTINCT d.policy_id, 'we' AS entity, d.dst AS datatype FROM col d UNION SELECT DISTINCT s.policy_id, 'trusted partner', s.dst FROM sub s JOIN types t ON t.policy_id = s.policy_id AND t.node = s.dst AND t.type = 'DATA')"
 PLAIN = "pos AS (SELECT DISTINCT policy_id, entity, datatype FROM who WHERE NOT starts_with(key, 'NOT_')), dir AS (SELECT DISTINCT policy_id, src AS entity, dst AS datatype FROM col WHERE NOT starts_with(key, 'NOT_'))"
 STATUS = """st AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM dir x WHERE x.policy_id = p.policy_id AND x.datatype = p.datatype) THEN 'clear' WHEN EXISTS (SELECT 1 FROM pos x WHERE x.policy_id = p.policy_id AND x.datatype = p.datatype) THEN 'vague' ELSE 'omitted' END AS collection_consistency,
-    CASE WHEN EXISTS (SELECT 1 FROM dir x WHERE x.policy_id = p.policy_id AND x.datatype = p.datatype AND x.entity = p.entity) THEN 'clear' WHEN EXISTS (SELECT 1 FROM pos x WHERE x.policy_id = p.policy_id AND x.datatype = p.datatype AND x.entity IN (p.entity, 'third party')) THEN 'vague' ELSE 'omitted' END AS policheck_consistency FROM probes p)"""
+    CASE WHEN EXISTS (SELECT 1 FROM dir x WHERE x.policy_id = p.policy_id AND x.datatype = p.datatype AND x.entity = p.entity) THEN 'clear' WHEN EXISTS (SELECT 1 FROM pos x WHERE x.policy_id = p.policy_id AND x.datatype = p.datatype AND x.entity IN (p.entity, 'third party')) THEN 'vague' ELSE 'omitted' END AS entity_consistency FROM probes p)"""
 FLOW = f"{BASE}, {PROBE_SQL}, {PLAIN}, {STATUS}"
 
 
@@ -30,29 +30,29 @@ def statuses(spark, folder):
     return A.consistency(probes, direct, k.who_collect())
 
 
-@q("flow_consistency", f"{FLOW} SELECT policy_id, entity, datatype, collection_consistency, policheck_consistency FROM st")
+@q("flow_consistency", f"{FLOW} SELECT policy_id, entity, datatype, collection_consistency, entity_consistency FROM st")
 def flow_consistency(spark, folder):
     """ANA-06, ANA-10, GQ-21..23, OPT-16: stated directly is clear, stated by a wider term is vague."""
     return statuses(spark, folder)
 
 
-@q("consistency_rollup", f"{FLOW} SELECT policy_id, datatype, CASE WHEN bool_and(policheck_consistency = 'omitted') THEN 'omitted' WHEN bool_or(policheck_consistency = 'omitted') THEN 'partial' WHEN bool_or(policheck_consistency = 'vague') THEN 'vague' ELSE 'clear' END AS status FROM st GROUP BY ALL")
+@q("consistency_rollup", f"{FLOW} SELECT policy_id, datatype, CASE WHEN bool_and(entity_consistency = 'omitted') THEN 'omitted' WHEN bool_or(entity_consistency = 'omitted') THEN 'partial' WHEN bool_or(entity_consistency = 'vague') THEN 'vague' ELSE 'clear' END AS status FROM st GROUP BY ALL")
 def consistency_rollup(spark, folder):
     """ANA-07."""
-    return A.rollup_status(statuses(spark, folder), ["policy_id", "datatype"], "policheck_consistency")
+    return A.rollup_status(statuses(spark, folder), ["policy_id", "datatype"], "entity_consistency")
 
 
-@q("consistency_row_pct", f"{FLOW}, c AS (SELECT entity, policheck_consistency AS status, count(*) AS n FROM st GROUP BY ALL) SELECT entity, status, n, round(100.0 * n / sum(n) OVER (PARTITION BY entity), 4) AS pct FROM c")
+@q("consistency_row_pct", f"{FLOW}, c AS (SELECT entity, entity_consistency AS status, count(*) AS n FROM st GROUP BY ALL) SELECT entity, status, n, round(100.0 * n / sum(n) OVER (PARTITION BY entity), 4) AS pct FROM c")
 def consistency_row_pct(spark, folder):
     """ANA-08, ANA-09, AGG-14."""
-    c = statuses(spark, folder).groupBy("entity", F.col("policheck_consistency").alias("status")).agg(F.count("*").alias("n"))
+    c = statuses(spark, folder).groupBy("entity", F.col("entity_consistency").alias("status")).agg(F.count("*").alias("n"))
     return A.row_percentages(c, "entity", "status")
 
 
-@q("system_comparison", f"{FLOW} SELECT collection_consistency, count(*) FILTER (policheck_consistency = 'clear') AS clear, count(*) FILTER (policheck_consistency = 'vague') AS vague, count(*) FILTER (policheck_consistency = 'omitted') AS omitted FROM st GROUP BY ALL")
+@q("system_comparison", f"{FLOW} SELECT collection_consistency, count(*) FILTER (entity_consistency = 'clear') AS clear, count(*) FILTER (entity_consistency = 'vague') AS vague, count(*) FILTER (entity_consistency = 'omitted') AS omitted FROM st GROUP BY ALL")
 def system_comparison(spark, folder):
     """ANA-08, AGG-12, AGG-13: a fixed, zero-filled matrix."""
-    return statuses(spark, folder).groupBy("collection_consistency").pivot("policheck_consistency", ["clear", "vague", "omitted"]).count().fillna(0)
+    return statuses(spark, folder).groupBy("collection_consistency").pivot("entity_consistency", ["clear", "vague", "omitted"]).count().fillna(0)
 
 
 @q("flow_first_seen", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS flows FROM events GROUP BY ALL")
