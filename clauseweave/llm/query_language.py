@@ -8,7 +8,7 @@ from clauseweave.llm.queries import LLM
 from clauseweave.llm.site_tree import judge_pages
 from clauseweave.plans.session import cut, stash, table
 
-SAMPLE_ROWS = 6_000  # rows of each table from which the field is trained
+SAMPLE_ROWS = 4_000  # rows of each table from which the field is trained
 
 
 def latest(df, key, by):
