@@ -13,7 +13,7 @@ VARIANTS = ("original", "extended", "per_sentence", "per_section")
 def main_mentions(coref: DataFrame, rounds: int = 40) -> DataFrame:
     """(src, main): mentions with one antecedent, followed to the end of their chain by pointer jumping (BLD-06)."""
     cur = coref.select("src", F.col("dst").alias("main"))
-    for _ in range(rounds):
+    for _ in range(min(rounds, coref.count().bit_length() + 1)):
         up = cur.select(F.col("src").alias("main"), F.col("main").alias("next"))
         new = cut(cur.join(up, "main", "left").select("src", F.coalesce("next", "main").alias("main"), F.col("next").isNotNull().alias("moved")))
         if not new.where("moved").limit(1).count():

@@ -33,7 +33,7 @@ def follow_to_root(links: DataFrame, child: str, parent: str, rounds: int = 40)
     from clauseweave.plans.session import cut
 
     cur = cut(links.select(F.col(child).alias("c"), F.col(parent).alias("p"), F.least(F.col(child), F.col(parent)).alias("low")))
-    for _ in range(rounds):
+    for _ in range(min(rounds, cur.count().bit_length() + 1)):  # a chain is no longer than there are links
         up = cur.select(F.col("c").alias("p"), F.col("p").alias("p2"), F.col("low").alias("low2"))
         new = cut(cur.join(up, "p", "left").select("c", F.coalesce("p2", "p").alias("p"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("p2").isNotNull().alias("moved")))
         if not new.where("moved").limit(1).count():

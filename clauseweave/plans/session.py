@@ -65,10 +65,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder and return it without its lineage.
 
     For small or iterated results: the files go when the result is no longer referenced. A reliable
-    checkpoint survives the loss of executors, unlike ``localCheckpoint``.
+    checkpoint survives the loss of executors, unlike ``localCheckpoint``. Without constraint
+    propagation, as a checkpoint keeps the constraints of its plan, which pile up in loops.
     """
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    _shared_folder(spark)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def stash(df: DataFrame) -> DataFrame:
