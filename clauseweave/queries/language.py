@@ -1,7 +1,7 @@
 """Token tables, dependency patterns, annotators and practice statements.
 
-The token tables are hand-annotated sentences and, for whole tables, what the rule provider makes of
-the segments.
+The queries named parsed_... and phrase_stems run over what the rule provider makes of all segments. Those
+of ``fixture`` compare the same operators with SQL on ten hand-annotated sentences and read no table.
 """
 
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ def fixture(spark):
     return spark.createDataFrame(rows(), T.SCHEMA)
 
 
+def parsed(spark, folder):
+    """The token table of all English segments, parsed once for all that reads it."""
+    return stash(R.parse(R.english(seg(spark, folder))))
+
+
 @q("entity_spans_islands", f"WITH {TOK}, x AS (SELECT *, CASE WHEN ent_iob = 'B' OR lag(i) OVER w IS NULL OR lag(i) OVER w <> i - 1 OR lag(ent_type) OVER w <> ent_type THEN 1 ELSE 0 END AS new FROM tok WHERE ent_iob IN ('B', 'I') WINDOW w AS (PARTITION BY doc, sent ORDER BY i)), y AS (SELECT *, sum(new) OVER (PARTITION BY doc, sent ORDER BY i) AS s FROM x) SELECT doc, sent, min(ent_type) AS label, min(i) AS start_i, max(i) AS end_i, count(*) AS n FROM y GROUP BY doc, sent, s")
 def entity_spans_islands(spark, folder):
     """TOK-03, TOK-04, D8."""
@@ -106,7 +111,85 @@ def collect_share_rules(spark, folder):
 @q("phrase_stems")
 def phrase_stems(spark, folder):
     """TOK-08, TOK-09."""
-    return T.phrase_stems(fixture(spark))
+    return T.phrase_stems(parsed(spark, folder))
+
+
+@q("parsed_entity_spans")
+def parsed_entity_spans(spark, folder):
+    """TOK-03, TOK-04, D8."""
+    return T.entity_spans(parsed(spark, folder))
+
+
+@q("parsed_subtree_bounds")
+def parsed_subtree_bounds(spark, folder):
+    """TOK-06."""
+    return T.subtree_bounds(parsed(spark, folder))
+
+
+@q("parsed_conjuncts")
+def parsed_conjuncts(spark, folder):
+    """TOK-07, GRA-09."""
+    return T.conjuncts(parsed(spark, folder))
+
+
+@q("parsed_sentence_texts")
+def parsed_sentence_texts(spark, folder):
+    """TOK-05, TOK-12."""
+    return T.sentence_text(parsed(spark, folder))
+
+
+@q("parsed_such_as")
+def parsed_such_as(spark, folder):
+    """TOK-10, ANN-02."""
+    return T.match_pattern(parsed(spark, folder), A.SUBSUM_PATTERNS["such_as"])
+
+
+@q("parsed_include")
+def parsed_include(spark, folder):
+    """TOK-10, ANN-04."""
+    return T.match_pattern(parsed(spark, folder), A.SUBSUM_PATTERNS["include"])
+
+
+@q("parsed_subsumption")
+def parsed_subsumption(spark, folder):
+    """ANN-01..15, ANN-28, ANN-30."""
+    return A.Subsumption().transform(parsed(spark, folder))
+
+
+@q("parsed_coreference")
+def parsed_coreference(spark, folder):
+    """ANN-17..20, ANN-31, JON-12."""
+    return A.Coreference().transform(parsed(spark, folder))
+
+
+@q("parsed_first_party")
+def parsed_first_party(spark, folder):
+    """ANN-16."""
+    return A.FirstParty().transform(parsed(spark, folder))
+
+
+@q("parsed_purposes")
+def parsed_purposes(spark, folder):
+    """ANN-24..26."""
+    return A.Purposes().transform(parsed(spark, folder))
+
+
+@q("parsed_data_subjects")
+def parsed_data_subjects(spark, folder):
+    """ANN-27."""
+    return A.DataSubjects().transform(parsed(spark, folder))
+
+
+@q("parsed_negations")
+def parsed_negations(spark, folder):
+    """COL-02, COL-03, TOK-11."""
+    return S.negated(parsed(spark, folder))
+
+
+@q("parsed_statements")
+def parsed_statements(spark, folder):
+    """COL-01..17."""
+    return S.statements(parsed(spark, folder))
 
 
 @q("list_propagation", "WITH items AS (SELECT DISTINCT policy_id AS doc, parent_id AS list_id, segment_id AS node FROM segments WHERE parent_id IS NOT NULL), l AS (SELECT doc, min(node) AS src, max(list_id) AS dst FROM items GROUP BY doc), a AS (SELECT l.doc, b.node AS src, l.dst FROM l JOIN items a ON a.doc = l.doc AND a.node = l.src JOIN items b ON b.doc = a.doc AND b.list_id = a.list_id), b AS (SELECT l.doc, l.src, y.node AS dst FROM l JOIN items x ON x.doc = l.doc AND x.node = l.dst JOIN items y ON y.doc = x.doc AND y.list_id = x.list_id) SELECT DISTINCT * FROM (SELECT * FROM l UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b) WHERE src <> dst")
@@ -150,8 +233,7 @@ def parsed_tokens(spark, folder):
 @q("policy_graph")
 def policy_graph(spark, folder):
     """BLD-01..19 end to end: segments to tokens to statements to one graph per policy."""
-    tokens = stash(R.parse(R.english(seg(spark, folder))))
-    return B.build_graph(tokens)
+    return B.build_graph(parsed(spark, folder))
 
 
 @q("coref_pointer_jump", "WITH RECURSIVE e AS (SELECT left_id AS src, min(right_id) AS dst FROM entity_pairs WHERE is_match AND right_id < left_id GROUP BY left_id), w AS (SELECT src, dst, 1 AS n FROM e UNION ALL SELECT w.src, e.dst, n + 1 FROM w JOIN e ON e.src = w.dst WHERE n < 200) SELECT src, arg_max(dst, n) AS main FROM w GROUP BY src")
