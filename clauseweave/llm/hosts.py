@@ -18,13 +18,18 @@ def host_of(url: Column) -> Column:
     return F.when(h != "", F.regexp_replace(h, r"\.+$", ""))
 
 
-def evidence_of(records: DataFrame, most: int = 40) -> DataFrame:
+def evidence_of(records: DataFrame, families: DataFrame | None = None, most: int = 40) -> DataFrame:
     """(entity_id, token) of the hosts of each record, without hosts that lend themselves to many.
 
-    A host below a parent under which more than ``most`` records have hosts of their own (a platform)
-    says nothing about its owner, nor does one that more than ``most`` records use.
+    A host below a parent that more than ``most`` families of names share (a platform) says nothing
+    about its owner, unless one family has at least half of the records there: then the parent is
+    its own, however many records it has. families: (entity_id, family), with no row for a record
+    without a usable name; where they aren't given, each record counts as a family.
     """
     d = records.select("entity_id", F.explode("domains").alias("d")).select("entity_id", host_of(F.col("d")).alias("token")).where("token is not null").distinct()
     d = d.withColumn("parent", F.regexp_extract("token", r"([^.]+\.[^.]+)$", 1))
-    busy = d.groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") <= most)
-    return d.join(busy.select("parent"), "parent", "left_semi").select("entity_id", "token")
+    users = d.select("parent", "entity_id").distinct()
+    users = users.withColumn("family", F.col("entity_id")) if families is None else users.join(families.select("entity_id", "family"), "entity_id")
+    shares = users.groupBy("parent", "family").agg(F.count("*").alias("n")).groupBy("parent").agg(F.count("*").alias("families"), F.max("n").alias("top"), F.sum("n").alias("n"))
+    platforms = shares.where((F.col("families") > most) & (F.col("top") * 2 < F.col("n")))
+    return d.join(platforms.select("parent"), "parent", "left_anti").select("entity_id", "token")

@@ -295,16 +295,11 @@ def near_forms(forms: DataFrame, most: int = 64) -> DataFrame:
     return pairs.where(F.pandas_udf(same, "boolean")("a", "b"))
 
 
-def resolve_names(records: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(entity_id, family, kind) of each record: equal values mean the same firm or person.
+def name_families(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The parsed names of ``records`` (entity_id and one name each) and (entity_id, family) of those with a form.
 
-    records: entity_id and one name each (a record's name and each of its aliases). A family is a
-    component of records and name forms; a form of one word and an initial counts only for records
-    that have no fuller one, so that it doesn't tie families together. Within it, firms differ by trade and persons by given name
-    (``kind``). A record that states none takes the only one of its family, else the one that fits
-    its initial, else that of records with which it shares most ``evidence`` (entity_id, token), else
-    it stays alone. Records without any usable name are alone, too. Nothing is collected: kinds per
-    family are bounded by the word lists, all else are joins and combining aggregations.
+    A family is a component of records and name forms; a form of one word and an initial counts only
+    for records that have no fuller one, so that it doesn't tie families together.
     """
     p = cut(parse_names(records))
     named = p.where("form is not null").select("entity_id", "form", F.col("form").rlike("^. ").alias("short")).distinct()
@@ -313,7 +308,20 @@ def resolve_names(records: DataFrame, evidence: DataFrame) -> DataFrame:
     alike_forms = near_forms(named.select("form").distinct())
     node = F.concat(F.lit("r"), F.col("entity_id").cast("string"))
     links = named.select(node.alias("a"), F.concat(F.lit("f"), "form").alias("b")).unionByName(alike_forms.select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b")))
-    family = contract(links).where("id like 'r%'").select(F.substring("id", 2, 30).cast("bigint").alias("entity_id"), F.col("group_id").alias("family"))
+    return p, cut(contract(links).where("id like 'r%'").select(F.substring("id", 2, 30).cast("bigint").alias("entity_id"), F.col("group_id").alias("family")))
+
+
+def resolve_names(records: DataFrame, evidence: DataFrame, families: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(entity_id, family, kind) of each record: equal values mean the same firm or person.
+
+    records: entity_id and one name each (a record's name and each of its aliases); families: their
+    ``name_families``, where they are known already. Within a family, firms differ by trade and persons by given name
+    (``kind``). A record that states none takes the only one of its family, else the one that fits
+    its initial, else that of records with which it shares most ``evidence`` (entity_id, token), else
+    it stays alone. Records without any usable name are alone, too. Nothing is collected: kinds per
+    family are bounded by the word lists, all else are joins and combining aggregations.
+    """
+    p, family = families or name_families(records)
     said = p.where("form is not null").select("entity_id", F.explode(F.array_union("trades", "given")).alias("kind"), F.size(F.array_union("trades", "given")).alias("n"))
     said = said.groupBy("entity_id", "kind").agg(F.sum(1 / F.col("n")).alias("w"))
     top = said.groupBy("entity_id").agg(F.max("w").alias("w"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from clauseweave.llm.components import contract
 from clauseweave.llm.hosts import evidence_of
 from clauseweave.llm.linkage import match_sources
-from clauseweave.llm.names import resolve_names, same_records
+from clauseweave.llm.names import name_families, resolve_names, same_records
 from clauseweave.llm.queries import LLM
 from clauseweave.plans.session import cut, table
 
@@ -34,7 +34,9 @@ def names_of(info):
 
 def resolved(spark, folder):
     info = table(spark, folder, "entity_info")
-    return resolve_names(names_of(info), evidence_of(info.select("entity_id", "domains")))
+    names = names_of(info)
+    known = name_families(names)
+    return resolve_names(names, evidence_of(info.select("entity_id", "domains"), known[1]), known)
 
 
 @LLM.add("p6_found")
@@ -64,9 +66,10 @@ def matches(spark, folder):
     own = names_of(info.drop("entity_id").withColumnRenamed("lid", "entity_id"))
     listed = firm.select(F.col("rid").alias("entity_id"), "name")
     site = firm.select(F.col("rid").alias("entity_id"), F.array("homepage_url").alias("domains"))
-    hosts = evidence_of(info.select(F.col("lid").alias("entity_id"), "domains").unionByName(site))
-    hosts = cut(hosts)
-    kinds = cut(resolve_names(own.unionByName(listed).where("name is not null"), hosts).select(F.col("entity_id").alias("id"), "kind"))
+    names = own.unionByName(listed).where("name is not null")
+    known = name_families(names)
+    hosts = cut(evidence_of(info.select(F.col("lid").alias("entity_id"), "domains").unionByName(site), known[1]))
+    kinds = cut(resolve_names(names, hosts, known).select(F.col("entity_id").alias("id"), "kind"))
     left = own.groupBy(F.col("entity_id").alias("lid")).agg(F.sort_array(F.collect_set("name")).alias("names"))
     third = info.groupBy("lid").agg(F.max("tracker_radar_entity").alias("third"))
     left = third.join(left, "lid", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
