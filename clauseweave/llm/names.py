@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -243,6 +244,36 @@ def keys_of(form: str) -> set[str]:
     return out
 
 
+def refined(form: str, key: str) -> set[str]:
+    """What ``key`` of ``form`` becomes where too many forms share it; alike forms that share it share one of these.
+
+    A key of one word is refined by the others: their delete neighbourhoods up to the errors they may
+    hold, and their first letters for initials. If another word is so near to the key's that an
+    alignment may swap the two, the key's own word is one of the others. A key of all words but the
+    longest is refined by the longest. Glued words have few neighbours and stay as they are.
+    """
+    w = sorted(form.split(), key=lambda x: (len(x), x))
+    long, kind = w[-1], key[0]
+    out = set()
+    if kind == "g":
+        return {key}
+    if kind in "ab":
+        out = deletes(long, 2) | ({long[0]} if long[0] in w[:-1] else set())
+    else:
+        for u in {long, w[0] if len(w) == 2 and len(w[0]) >= 8 else long}:
+            if key[1:] not in deletes(u, 1):
+                continue
+            rest = list(w)
+            rest.remove(u)
+            out |= {""} if not rest else set()
+            if any(len(y) > 1 and max((Counter(y) - Counter(u)).total(), (Counter(u) - Counter(y)).total()) <= 1 + slack(len(y)) for y in rest):
+                rest.append(u)
+            for y in rest:
+                out |= deletes(y, slack(len(y))) | {y[0]}
+            out |= {u[0]} if any(len(y) == 1 for y in rest) else set()
+    return {f"{key}|{x}" for x in out}
+
+
 PARSED = "entity_id bigint, form string, trades array<string>, given array<string>, initials array<string>"
 
 
@@ -263,9 +294,8 @@ def parse_names(records: DataFrame) -> DataFrame:
 def near_forms(forms: DataFrame, most: int = 64) -> DataFrame:
     """(a, b) of the distinct forms that are alike, a < b, by the symmetric-delete index.
 
-    Forms that share a key are compared. A key that more than ``most`` forms share is refined: its
-    forms are keyed anew by it together with the delete neighbourhood of their other words, which
-    alike forms share as well, so nothing is lost and no block grows with the corpus.
+    Forms that share a key are compared. A key that more than ``most`` forms share is ``refined`` by
+    the words that didn't give it, which alike forms share as well, so nothing is lost.
     """
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,12 +304,7 @@ def near_forms(forms: DataFrame, most: int = 64) -> DataFrame:
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for f, k in zip(b["form"], b["key"], strict=True):
-                w = sorted(f.split(), key=lambda x: (len(x), x))[:-1]
-                rest = {x for y in w for x in (deletes(y, 1) if len(y) > 1 else {y}) | {y[0]}} or {""}
-                out += [(f, f"{k}|{r}") for r in rest]
-            yield pd.DataFrame(out, columns=["form", "key"])
+            yield pd.DataFrame([(f, x) for f, k in zip(b["form"], b["key"], strict=True) for x in refined(f, k)], columns=["form", "key"])
 
     keyed = cut(forms.select("form").mapInPandas(index, "form string, key string").distinct())
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
