@@ -34,6 +34,12 @@ def tokenizer_fixups(spark, folder):
     return table(spark, folder, "segments").where(F.col("text").rlike(r"^[ -~]*$")).select("seg_uid", T.tokenizer_fixups(F.col("text")).alias("fixed"))
 
 
+@q("tokenizer_fixups_all", rf"""SELECT seg_uid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '{T.ACCENTED}', '{T.PLAIN}'), '(?i)\be-mails?\b', 'email', 'g'), '(?i)\bwi-fi\b', 'WiFi', 'g'), '(?i)\bgeo-location\b', 'geolocation', 'g'), '\bid\b', 'ID', 'g'), '\b(\w+)\(s\)', '\1s', 'g') AS fixed FROM segments WHERE text IS NOT NULL""")
+def tokenizer_fixups_all(spark, folder):
+    """TXT-02, TXT-03: the texts of all segments, accents folded first; ``tokenizer_fixups`` keeps to plain ASCII."""
+    return table(spark, folder, "segments").where("text is not null").select("seg_uid", T.tokenizer_fixups(T.fold_ascii(F.col("text"))).alias("fixed"))
+
+
 @q("token_text", "SELECT seg_uid, array_to_string(list_transform(list_zip(tokens, spaces), lambda x: x[1] || CASE WHEN x[2] THEN ' ' ELSE '' END), '') AS rebuilt FROM segments")
 def token_text(spark, folder):
     """TXT-05, D4."""
