@@ -171,3 +171,38 @@ def test_token_counts(spark):
     texts = ["", None, "We collect data.", "é" * 1000]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(count_tokens(__import__("pyspark").sql.functions.col("t"))).collect()]
     assert got == [0, 0, len(tokenizer().encode_ordinary(texts[2])), len(tokenizer().encode_ordinary(texts[3]))]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["{{ customer full legal registered company name here }}", "[full legal name company registered street city postal address]", "Write to undefined for a copy of your data.", "Ooops, that link is broken!", "La requête a échoué. Veuillez réessayer plus tard.", "Es ist ein Fehler aufgetreten (Fehlercode 503)", "Il servizio è temporaneamente non disponibile. Riprova più tardi.", "Sessão expirada. Inicie sessão novamente.", "Strona jest chwilowo niedostępna", "Ваша сессия истекла, войдите снова", "JavaScript must be enabled to view this content", "El servidor no responde", "Your content goes here", "Platzhaltertext"],
+)
+def test_residue_of_all_languages(text):
+    assert R.kind_of(text)
+
+
+@pytest.mark.parametrize("text", ["{{" * 20_000, "[insert " * 20_000, "%a " * 20_000, "<% " * 20_000, "lorem" * 20_000], ids=lambda t: t[:8])
+def test_residue_is_linear(text):
+    import time
+
+    start = time.time()
+    R.kind_of(text)
+    assert time.time() - start < 5
+
+
+def test_tree_decides(spark):
+    """Without importances nothing is removed but controls: the branches go by what the host shares."""
+    rng = random.Random(1)
+    words = "we collect store share your address number history with partners for orders only when law allows".split()
+    rows_ = [x for k in range(6) for x in page(k, [" ".join(rng.choices(words, k=12)) + "." for _ in range(5)])]
+    j = S.judge_pages(spark.createDataFrame(rows_, NODE)).toPandas()
+    assert set(j[j.noise].decided_by) == {"tree"} and set(j[j.noise].name) == {"Home", "Pricing", "Imprint", "Sitemap"}
+    alone = S.judge_pages(spark.createDataFrame([x for x in rows_ if x[1] == 0], NODE)).toPandas()
+    assert not alone.noise.any()
+
+
+def test_nodes_without_order(spark):
+    """Missing parents, loops of parents and repeated rows neither crash nor double a leaf."""
+    rows_ = [("h", 1, "p", 0, None, 0, [], "document", None, None, ""), ("h", 1, "p", 1, 2, 0, [], "text", "a b", None, ""), ("h", 1, "p", 2, 1, 0, [], "text", "c", None, ""), ("h", 1, "p", 3, 99, 0, [], None, "lost", None, ""), ("h", 1, "p", 3, 99, 0, [], None, "lost", None, ""), (None, 2, None, 0, None, 0, [], "text", "x" * 100_000, None, "")]
+    got = S.page_leaves(spark.createDataFrame(rows_, NODE)).toPandas()
+    assert sorted(got.name.str[:4]) == ["lost", "xxxx"]
