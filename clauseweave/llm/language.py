@@ -2,7 +2,10 @@
 
 A linear-chain conditional random field labels words. Its emissions are sums of hashed affix, n-gram
 and lexicon features, its transitions are learned on code-switched sequences, and forward-backward
-gives each word's language probabilities. A sentence takes the language with the largest mean.
+gives each word's language probabilities. A sentence takes the language with the largest mean; where
+the words' probabilities switch inside a sentence, it is cut there. A sentence that stays unsure is
+judged again in one sequence with its neighbours, so that the learned transitions carry over. Words
+of languages beside the nine fall to the label "other".
 
 The field is trained here, on sentences of the corpus itself: a bounded sample whose weak labels
 come from the function words below, and from the stated language where it agrees.
@@ -20,7 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-LANGS = ["en", "de", "fr", "es", "it", "nl", "pt", "pl", "ru"]
+LANGS = ["en", "de", "fr", "es", "it", "nl", "pt", "pl", "ru", "other"]
+OTHER = LANGS.index("other")
 BITS = 17
 
 # How records state a language, beside its two-letter code.
@@ -47,6 +51,21 @@ FUNCTION_WORDS = {
     "pl": "i w na do nie z że się jest lub oraz dla przez o po za ich tej od aby jak nasz państwa także również można każdej co czy być tym przy jeśli ani bez",
     "ru": "и в на не мы вы для по с от или что это как при о об за к до чем ваш вашего можете также если никогда без наш его их нас этом чтобы менее",
 }
+# Common words of languages beside the nine (Swedish, Danish and Norwegian, Finnish, Czech, Hungarian, Romanian, Turkish, Croatian, Catalan, Latin letters of Vietnamese, Greek).
+OTHER_WORDS = {
+    "sv": "och att det som en på är av för med den till inte om ett har vi kan ska dina uppgifter du när eller från vår våra personuppgifter delar aldrig utan samtycke tjänster användare behandlar lagrar adress också",
+    "da": "og at det som en på er af for med den til ikke om et har vi kan skal dine oplysninger du når eller fra vores ikke personoplysninger deler aldrig uden samtykke tjenester brugere behandler gemmer adresse også hvis",
+    "fi": "ja on ei se että me voimme tietoja tietojasi kun tai joka ovat sekä emme käytämme palvelun käyttäjät henkilötietoja sivuston mukaan niitä myös jos vain ilman suostumusta osoite koskaan keräämme",
+    "cs": "a že je v na se nebo které jsou pro údaje vaše když osobní můžeme služby také podle jejich není uživatelé souhlas bez nikdy sdílíme adresu shromažďujeme pokud tyto nás vám při až",
+    "hu": "és hogy az nem egy van vagy adatok adatait személyes amikor szolgáltatás felhasználók is csak lehet ezek nélkül hozzájárulás soha gyűjtjük megosztjuk címét ha önnek mi által kezelése szerint között",
+    "ro": "și că este în pe se sau care sunt pentru datele dumneavoastră când personale putem servicii de asemenea nu utilizatorii fără consimțământ niciodată colectăm adresa dacă aceste noastre cu prin mai din",
+    "tr": "ve bir bu için ile olarak veya kişisel verileri olan daha hizmet kullanıcı gibi değil onay olmadan asla topluyoruz paylaşıyoruz adresiniz eğer bizim tarafından zaman göre kadar sonra verilerinizi",
+    "hr": "je u na se ili koje su za podatke vaše kada osobne možemo usluge također prema nije korisnici bez privole nikada dijelimo adresu prikupljamo ako ove nas kako što biti njihove",
+    "ca": "i que és en el la amb per als les dades vostres quan personals podem serveis també segons usuaris sense consentiment mai compartim adreça recollim si aquestes nostres aquest però més fins",
+    "el": "και το να είναι της για την με που δεν τα δεδομένα σας όταν προσωπικά μπορούμε υπηρεσίες επίσης χρήστες χωρίς συγκατάθεση ποτέ συλλέγουμε διεύθυνση εάν αυτά μας",
+}
+_NINE = {w for ws in FUNCTION_WORDS.values() for w in ws.split()}
+FUNCTION_WORDS["other"] = " ".join(sorted({w for ws in OTHER_WORDS.values() for w in ws.split()} - _NINE))
 LEXICON: dict[str, set[int]] = defaultdict(set)
 for _k, _lang in enumerate(LANGS):
     for _w in FUNCTION_WORDS[_lang].split():
@@ -139,7 +158,7 @@ class Field:
         order = sorted(range(n), key=lambda i: len(seqs[i]))
         s = 0
         while s < n:
-            size = max(1, min(1024, 60_000 // max(1, len(seqs[order[s]]))))
+            size = max(1, min(4096, 120_000 // max(1, len(seqs[order[s]]))))
             block = order[s : s + size]
             s += size
             lens = np.array([len(seqs[i]) for i in block])
@@ -193,22 +212,17 @@ class Field:
                 flat = np.array([i for r in f for i in r])
                 owner = np.repeat(np.arange(len(f)), [len(r) for r in f])
                 scale = 1 / np.sqrt([len(r) for r in f])
-                table = np.zeros((len(f), k))
-                np.add.at(table, owner, self.w[flat])
-                table *= scale[:, None]
+                table = np.add.reduceat(self.w[flat], np.r_[0, np.cumsum([len(r) for r in f])[:-1]]).astype(float) * scale[:, None]
                 index = [np.array([words[x] for x in q]) for q in part]
                 post, trans = self.posteriors(part, [table[i] for i in index], pairs=True)
-                ge = np.zeros_like(table)
-                gt = trans.copy()
-                for i, p, y in zip(index, post, truth, strict=True):
-                    d = p.copy()
-                    d[np.arange(len(y)), y] -= 1
-                    np.add.at(ge, i, d)
-                    np.add.at(gt, (y[:-1], y[1:]), -1)
+                at, y, d = np.concatenate(index), np.concatenate(truth), np.concatenate(post)
+                d[np.arange(len(y)), y] -= 1
+                ge = np.stack([np.bincount(at, d[:, j], len(f)) for j in range(k)], 1) * scale[:, None]
+                last = np.cumsum([len(q) for q in part])[:-1]
+                inner = np.setdiff1d(np.arange(len(y) - 1), last - 1)
+                gt = trans - np.bincount(y[inner] * k + y[inner + 1], minlength=k * k).reshape(k, k)
                 u, inv = np.unique(flat, return_inverse=True)
-                gw = np.zeros((len(u), k))
-                np.add.at(gw, inv, (ge * scale[:, None])[owner])
-                gw += l2 * self.w[u]
+                gw = np.stack([np.bincount(inv, ge[owner, j], len(u)) for j in range(k)], 1) + l2 * self.w[u]
                 g2[u] += gw**2
                 self.w[u] -= (rate * gw / np.sqrt(g2[u])).astype(np.float32)
                 gt2 += gt**2
@@ -228,16 +242,21 @@ def stated_index(lang: str | None) -> str | None:
     return STATED.get(t) or STATED.get(re.split(r"[-_ ]", t)[0]) or re.split(r"[-_ ]", t)[0]
 
 
+CYRILLIC = re.compile("[а-я]")
+
+
 def vote(words: list[str]) -> int | None:
     """The language whose function words clearly lead in a sentence."""
-    v = np.zeros(len(LANGS))
+    v = [0.0] * len(LANGS)
     for w in words:
-        for k in LEXICON.get(w, ()):
-            v[k] += 1 / len(LEXICON[w])
-    if any("а" <= c <= "я" for w in words for c in w):
+        ks = LEXICON.get(w)
+        if ks:
+            for k in ks:
+                v[k] += 1 / len(ks)
+    if CYRILLIC.search(" ".join(words)):
         v[LANGS.index("ru")] += 3
-    o = np.argsort(v)
-    return int(o[-1]) if v[o[-1]] >= 1.5 and v[o[-1]] >= 1.5 * v[o[-2]] + 0.2 else None
+    second, first = sorted(v)[-2:]
+    return v.index(first) if first >= 1.5 and first >= 1.5 * second + 0.2 else None
 
 
 def train(sample: pd.DataFrame, per_language: int = 2_500) -> Field:
@@ -249,11 +268,15 @@ def train(sample: pd.DataFrame, per_language: int = 2_500) -> Field:
     """
     rng = np.random.default_rng(0)
     by: dict[int, dict[str, list[str]]] = defaultdict(dict)
+    seen: set[str] = set()
     for text, lang in zip(sample["text"], sample["lang"], strict=True):
         if not isinstance(text, str):
             continue
         own = stated_index(lang if isinstance(lang, str) else None)
         for s in sentences(text):
+            if s in seen:
+                continue
+            seen.add(s)
             w = tokens(s)
             k = vote(w)
             if k is None or len([x for x in w if x.isalpha()]) < 5:
@@ -263,8 +286,8 @@ def train(sample: pd.DataFrame, per_language: int = 2_500) -> Field:
             if len(by[k]) < per_language:
                 by[k].setdefault(" ".join(w), w)
     pool = [(k, w) for k in by for w in by[k].values()]
-    for k, lang in enumerate(LANGS):
-        lex = FUNCTION_WORDS[lang].split()
+    for lang, ws in [*FUNCTION_WORDS.items(), *OTHER_WORDS.items()]:
+        k, lex = LANGS.index(lang) if lang in LANGS else OTHER, ws.split()
         for _ in range(60):
             pool.append((k, [lex[i] for i in rng.integers(0, len(lex), 8)]))
     rng.shuffle(pool)
@@ -281,20 +304,77 @@ def train(sample: pd.DataFrame, per_language: int = 2_500) -> Field:
     return Field().fit(seqs, labels)
 
 
-def judge(field: Field, pieces: list[str]) -> list[tuple[int, float, int]]:
-    """(language, confidence, words) of each sentence; language -1 without words."""
+Verdict = tuple[int, float, int, tuple[tuple[int, int, float, int], ...]]
+SURE = 0.6  # below this mean a sentence is judged again with its neighbours
+
+
+def switches(piece: str, toks: list[str], g: np.ndarray, main: int, least: int, sure: float) -> tuple[tuple[int, int, float, int], ...]:
+    """(start, language, confidence, words) of the runs of a sentence whose words' probabilities switch; () for none.
+
+    Each word is taken with the two before and after it. A run counts if at least ``least`` words of it in a row are another language's, with the mean
+    probability ``sure``; runs of fewer words belong to their surroundings.
+    """
+    real = np.array([t[0].isalpha() and len(t) > 1 for t in toks])
+    at = np.flatnonzero(real)
+    if len(at) < 2 * least:
+        return ()
+    sums = np.cumsum(np.r_[np.zeros((1, g.shape[1])), g[at]], 0)
+    near = np.arange(len(at))
+    b = (sums[np.minimum(near + 3, len(at))] - sums[np.maximum(near - 2, 0)]).argmax(1)
+    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True])
+    runs = [(int(s), int(e), int(b[s])) for s, e in zip(cuts, cuts[1:]) if e - s >= least and g[at[s:e], b[s]].mean() >= sure]
+    if all(k == main for _, _, k in runs):
+        return ()
+    merged: list[list[int]] = []
+    for s, _, k in runs:
+        if not merged or merged[-1][1] != k:
+            merged.append([s if merged else 0, k])
+    if len(merged) < 2:
+        return ()
+    places = [m.start() for m in WORD.finditer(ADDRESS.sub(lambda m: " " * len(m.group()), piece) if "@" in piece or "." in piece[:-1] else piece)]
+    ends = [s for s, _ in merged[1:]] + [len(at)]
+    return tuple((0 if i == 0 else places[at[s]], k, float(g[at[s:e], k].mean()), e - s) for i, ((s, k), e) in enumerate(zip(merged, ends, strict=True)))
+
+
+def judge(field: Field, pieces: list[str], least: int = 4, sure: float = 0.7) -> list[Verdict]:
+    """(language, confidence, words, switches) of each sentence; language -1 without words."""
     toks = [tokens(p) for p in pieces]
     if not toks:
         return []
     lens = np.array([len(w) for w in toks])
     real = np.fromiter((x[0].isalpha() for w in toks for x in w), bool)
     owner = np.repeat(np.arange(len(toks)), lens)
-    g = np.concatenate(field.posteriors(toks))[real]
+    post = field.posteriors(toks)
+    every = np.concatenate(post)
+    g = every[real]
     n = np.bincount(owner[real], minlength=len(toks))
     sums = np.stack([np.bincount(owner[real], g[:, k], len(toks)) for k in range(len(LANGS))], 1)
     best = sums.argmax(1)
     conf = sums[np.arange(len(toks)), best] / np.maximum(1, n)
-    return [(int(k), float(c), int(m)) if m else (-1, 0.0, 0) for k, c, m in zip(best, conf, n, strict=True)]
+    strange = np.bincount(owner[real], every[real].argmax(1) != best[owner[real]], len(toks)) >= least
+    out = []
+    for i, (k, c, m) in enumerate(zip(best.tolist(), conf.tolist(), n.tolist(), strict=True)):
+        out.append((k, c, m, switches(pieces[i], toks[i], post[i], k, least, sure) if strange[i] else ()) if m else (-1, 0.0, 0, ()))
+    return out
+
+
+def judge_in_text(field: Field, texts: list[list[str]], verdicts: list[list[Verdict]]) -> None:
+    """Judges each unsure sentence again in one sequence with its neighbours, in place."""
+    where, seqs, span = [], [], []
+    for d, (ks, vs) in enumerate(zip(texts, verdicts, strict=True)):
+        for i, v in enumerate(vs):
+            if v[0] >= 0 and v[1] < SURE and len(ks) > 1:
+                before, own, after = tokens(ks[i - 1]) if i else [], tokens(ks[i]), tokens(ks[i + 1]) if i + 1 < len(ks) else []
+                where.append((d, i))
+                seqs.append(before + own + after)
+                span.append((len(before), len(before) + len(own)))
+    if not seqs:
+        return
+    for (d, i), q, (s, e), g in zip(where, seqs, span, field.posteriors(seqs), strict=True):
+        real = np.array([x[0].isalpha() for x in q[s:e]])
+        mean = g[s:e][real].mean(0)
+        k = int(mean.argmax())
+        verdicts[d][i] = (k, float(mean[k]), int(real.sum()), ())
 
 
 PARTS = "part int, first int, last int, lang string, confidence double, words int, full boolean"
@@ -303,11 +383,12 @@ PARTS = "part int, first int, last int, lang string, confidence double, words in
 def label_parts(df: DataFrame, field: Field, key: list[str], text: str = "text", closed: bool = True, least_words: int = 6) -> DataFrame:
     """One row for each part of a text that is in one language: ``key``, part, first, last, lang, ...
 
-    first and last are character positions of a run of sentences in one language; confidence is the
-    mean probability of their words; words counts them; full tells that at least one of the
-    sentences is a full one: of ``least_words`` words or more and, if ``closed``, with a sentence
-    end. Pieces without words join no part; null, empty and blank texts have no rows. Map-side only;
-    equal sentences of a task are judged once.
+    first and last are character positions of a run of sentences, or of pieces of a sentence that
+    switches, in one language ("other" for none of the nine); confidence is the mean probability of
+    their words; words counts them; full tells that at least one of the sentences is a full one: of
+    ``least_words`` words or more and, if ``closed``, with a sentence end. Pieces without words join
+    no part; null, empty and blank texts have no rows. Map-side only; equal sentences of a task are
+    judged once.
     """
     shared = df.sparkSession.sparkContext.broadcast(field)
     fields = [df.schema[c] for c in key]
@@ -315,7 +396,7 @@ def label_parts(df: DataFrame, field: Field, key: list[str], text: str = "text",
     names = [*key, "part", "first", "last", "lang", "confidence", "words", "full"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[int, float, int]] = {}
+        known: dict[str, Verdict] = {}
         digits = re.compile("[1-9]")
         for b in batches:
             even = [digits.sub("0", t) if isinstance(t, str) else "" for t in b[text]]
@@ -326,21 +407,24 @@ def label_parts(df: DataFrame, field: Field, key: list[str], text: str = "text",
                 new = list({s for ks in keys for s in ks})
             for s, v in zip(new, judge(shared.value, new), strict=True):
                 known[s] = v
+            verdicts = [[known[s] for s in ks] for ks in keys]
+            judge_in_text(shared.value, keys, verdicts)
             rows = []
-            for ids, t, ks in zip(b[key].itertuples(index=False, name=None), even, keys, strict=True):
+            for ids, t, ks, vs in zip(b[key].itertuples(index=False, name=None), even, keys, verdicts, strict=True):
                 at, part, run_ = 0, 0, None
-                for s in ks:
+                for s, (k, conf, n, cut) in zip(ks, vs, strict=True):
                     at = t.find(s, at)
-                    k, conf, n = known[s]
                     if k >= 0:
                         full = n >= least_words and conf >= 0.5 and (not closed or bool(CLOSED.search(s)))
-                        if run_ and run_[2] == k:
-                            run_[1], run_[3], run_[4], run_[5] = at + len(s), run_[3] + conf * n, run_[4] + n, run_[5] or full
-                        else:
-                            if run_:
-                                rows.append((*ids, part, run_[0], run_[1], LANGS[run_[2]], run_[3] / run_[4], run_[4], run_[5]))
-                                part += 1
-                            run_ = [at, at + len(s), k, conf * n, n, full]
+                        starts = [at + c[0] for c in cut[1:]] + [at + len(s)]
+                        for (first, lang, sure, words), last in zip(cut or ((0, k, conf, n),), starts, strict=True):
+                            if run_ and run_[2] == lang:
+                                run_[1], run_[3], run_[4], run_[5] = last, run_[3] + sure * words, run_[4] + words, run_[5] or (full and lang == k)
+                            else:
+                                if run_:
+                                    rows.append((*ids, part, run_[0], run_[1], LANGS[run_[2]], run_[3] / run_[4], run_[4], run_[5]))
+                                    part += 1
+                                run_ = [at + first, last, lang, sure * words, words, full and lang == k]
                     at += len(s)
                 if run_:
                     rows.append((*ids, part, run_[0], run_[1], LANGS[run_[2]], run_[3] / run_[4], run_[4], run_[5]))

@@ -51,7 +51,7 @@ def p2_found(spark, folder):
     out, own = parts(spark, folder)
     found = []
     for x, o in zip(out, own, strict=True):
-        langs = x.where("full").select("record_type", "record_id", "lang").distinct()
+        langs = x.where("full and lang <> 'other'").select("record_type", "record_id", "lang").distinct()
         found.append(langs.join(o, ["record_type", "record_id"], "left").where("stated is null or stated <> lang").select("record_type", "record_id", "lang"))
     return found[0].unionByName(found[1]).unionByName(found[2])
 

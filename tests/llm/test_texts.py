@@ -206,3 +206,24 @@ def test_nodes_without_order(spark):
     rows_ = [("h", 1, "p", 0, None, 0, [], "document", None, None, ""), ("h", 1, "p", 1, 2, 0, [], "text", "a b", None, ""), ("h", 1, "p", 2, 1, 0, [], "text", "c", None, ""), ("h", 1, "p", 3, 99, 0, [], None, "lost", None, ""), ("h", 1, "p", 3, 99, 0, [], None, "lost", None, ""), (None, 2, None, 0, None, 0, [], "text", "x" * 100_000, None, "")]
     got = S.page_leaves(spark.createDataFrame(rows_, NODE)).toPandas()
     assert sorted(got.name.str[:4]) == ["lost", "xxxx"]
+
+
+def test_switch_inside_a_sentence(spark):
+    """A sentence is cut where its words' probabilities switch; a language beside the nine is "other"."""
+    rows_ = [(f"{s} {s}", k) for k, s in SENT.items()] * 20
+    f = L.train(pd.DataFrame(rows_, columns=["text", "lang"]))
+    mixed = "Nous ne vendons pas votre adresse when you share your address with us."
+    swedish = "Vi delar aldrig dina personuppgifter med andra utan ditt samtycke."
+    df = spark.createDataFrame([(1, mixed), (2, swedish)], "id long, text string")
+    p = L.label_parts(df, f, ["id"]).toPandas().sort_values(["id", "part"])
+    assert list(p[p.id == 1].lang) == ["fr", "en"] and list(p[p.id == 2].lang) == ["other"]
+    cut = p[p.id == 1].iloc[1]
+    assert mixed[cut["first"] :].startswith(("adresse when", "when", "you"))
+
+
+def test_unsure_sentence_takes_its_neighbours(spark):
+    f = L.train(pd.DataFrame([(f"{s} {s}", k) for k, s in SENT.items()] * 20, columns=["text", "lang"]))
+    texts = [[SENT["de"], "Qzx.", SENT["de"]]]
+    verdicts = [L.judge(f, texts[0])]
+    L.judge_in_text(f, texts, verdicts)
+    assert [L.LANGS[v[0]] for v in verdicts[0]] == ["de", "de", "de"]
