@@ -1,9 +1,10 @@
 """Garbled text from wrong character encodings (problem 10).
 
 Noisy channel: the bytes behind a damaged word are rebuilt under each codec that may have misread
-them, as a lattice in which a character stands for itself, for a byte of a multi-byte character or,
-where bytes were lost (U+FFFD), for any character. A Viterbi search under character statistics of
-the corpus gives the best readings, and word frequencies of the corpus decide between them.
+them, as one lattice in which a character stands for itself, for a byte of a multi-byte character or,
+where bytes were lost (U+FFFD, or ? inside a word), for any character that fits the bytes that are
+left. A Viterbi search through the lattice, under character statistics of the corpus' words weighted
+by their frequency, gives the best readings, and the frequencies of the words decide between them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SUSPECT = r"[^\x00-\x7f]"
 # Characters that a correct text of a European language may hold beside ASCII.
 PLAUSIBLE = re.compile(r"[A-Za-z0-9¡-ſȘ-țΆ-ώЀ-џҐґ‐-‧‰-›€№™ Ẁ-ỹ←-⇿−≠-≥●•ﬁﬂ]|[\x00-\x7f]")
 LETTER = r"\p{L}"
+ASKED = r"\p{L}\?\p{L}"
 
 
 def byte_of(ch: str, codec: str) -> int | None:
@@ -53,68 +55,134 @@ def table_of(codec: str) -> dict[str, int]:
     return out
 
 
-def from_utf8(word: str, codec: str) -> tuple[str, bool]:
-    """``word`` with each UTF-8 sequence that ``codec`` had misread put right.
+@cache
+def by_bytes(wild: str) -> dict[tuple[int, int], list[tuple[bytes, str]]]:
+    """(lead byte, length) -> the characters of ``wild`` that UTF-8 writes so."""
+    out: dict[tuple[int, int], list[tuple[bytes, str]]] = defaultdict(list)
+    for x in wild:
+        b = x.encode("utf-8")
+        out[b[0], len(b)].append((b, x))
+    return out
 
-    Sequences are found inside otherwise sound text. The second value tells whether one of them
-    held a sign that isn't a letter, which no correct word has at that place.
-    """
+
+@cache
+def traces(codec: str) -> re.Pattern:
+    """What UTF-8 read as ``codec`` leaves: the sign of a lead byte before that of a continuation byte."""
     t = table_of(codec)
-    out, i, odd = [], 0, False
-    while i < len(word):
-        b = t.get(word[i])
-        n = 2 if b and 0xC2 <= b <= 0xDF else 3 if b and 0xE0 <= b <= 0xEF else 4 if b and 0xF0 <= b <= 0xF4 else 0
-        seq = [t.get(c, -1) for c in word[i : i + n]] if n and i + n <= len(word) else []
-        if seq and all(0x80 <= x <= 0xBF for x in seq[1:]):
-            try:
-                out.append(bytes(seq).decode("utf-8"))
-                odd |= not all(map(str.isalpha, word[i : i + n]))
-                i += n
-                continue
-            except UnicodeDecodeError:
-                pass
-        out.append(word[i])
-        i += 1
-    return "".join(out), odd
-
-
-def recode(word: str, shown: str, meant: str) -> str | None:
-    """``word``, which was read as ``shown``, read as ``meant``; None if it can't be."""
-    t = table_of(shown)
-    out = []
-    for ch in word:
-        if ord(ch) < 128:
-            out.append(ch)
-            continue
-        b = t.get(ch)
-        if b is None:
-            return None
+    signs = lambda lo, hi: "".join(re.escape(c) for c, b in t.items() if lo <= b <= hi)
+    return re.compile(f"[{signs(0xC2, 0xF4)}][{signs(0x80, 0xBF)}{LOST}]")
+
+
+@cache
+def recoding(shown: str, meant: str) -> dict[int, str]:
+    """Character as read by ``shown`` -> the character that ``meant`` has for its byte, where it has one."""
+    out = {}
+    for ch, b in table_of(shown).items():
         try:
-            out.append(bytes([b]).decode(meant))
+            out[ord(ch)] = bytes([b]).decode(meant)
         except UnicodeDecodeError:
-            return None
-    return "".join(out)
+            pass
+    return out
 
 
-def readings(word: str) -> list[tuple[str, str, bool]]:
-    """(reading, how, is the misreading plain) for each way that explains ``word``; lost bytes stay.
+KEPT = 50.0  # cost of keeping characters that are one misread character
+Arc = tuple[int, str, float, bool]
 
-    UTF-8 may have been misread twice; both steps are offered.
+
+def misread_utf8(word: str, codec: str, wild: str) -> list[list[Arc]]:
+    """The lattice of a word whose UTF-8 was read as ``codec``: (next position, character, cost, odd) from each position.
+
+    A lead byte with its continuation bytes is one character; where continuation bytes were lost,
+    any character of ``wild`` with the bytes that are left. A lost byte alone is any character of
+    ``wild`` and, beside another, nothing. odd: one of the signs isn't a letter, which no correct
+    word has at that place.
     """
-    out: dict[str, tuple[str, bool]] = {}
+    t = table_of(codec)
+    out: list[list[Arc]] = []
+    for i, ch in enumerate(word):
+        here: list[Arc] = []
+        b = t.get(ch)
+        n = 2 if b and 0xC2 <= b <= 0xDF else 3 if b and 0xE0 <= b <= 0xEF else 4 if b and 0xF0 <= b <= 0xF4 else 0
+        seq = [None if c == LOST else t.get(c, -1) for c in word[i : i + n]] if n and i + n <= len(word) else []
+        if seq and all(x is None or 0x80 <= x <= 0xBF for x in seq[1:]):
+            if None in seq:
+                here += [(i + n, x, 0.5, True) for full, x in by_bytes(wild)[seq[0], n] if all(y is None or y == z for y, z in zip(seq, full, strict=True))]
+            else:
+                try:
+                    here.append((i + n, bytes(seq).decode("utf-8"), 0.0, not all(map(str.isalpha, word[i : i + n]))))
+                except UnicodeDecodeError:
+                    pass
+        if ch == LOST and wild:
+            here += [(i + 1, x, 0.0, True) for x in wild]
+            here += [(i + 1, "", 1.0, True)] if i and word[i - 1] == LOST else []
+        else:
+            here.append((i + 1, ch, KEPT if here else 0.0, False))
+        out.append(here)
+    return out
+
+
+def search(arcs: list[list[Arc]], cost: dict[str, float], best: int) -> list[tuple[str, bool]]:
+    """The ``best`` cheapest (reading, odd) through a lattice, by Viterbi search over (position, last character).
+
+    Characters that the corpus' words never show side by side cost 14. Where no byte was lost, every
+    step but the first is far dearer than it (``KEPT``), so the first ones are the cheapest path. Only paths to one position
+    wait for each other, so time and room grow with the length of the word.
+    """
+    if best == 1 and all(len(here) == 1 or len(here) == 2 and here[1][2] == KEPT for here in arcs):
+        i, out, odd = 0, "", False
+        while i < len(arcs):
+            i, x, _, o = arcs[i][0]
+            out, odd = out + x, odd or o
+        return [(out, odd)]
+    ahead: dict[int, dict[str, list[tuple[float, str, bool]]]] = {0: {"^": [(0.0, "", False)]}}
+    for i, here in enumerate(arcs):
+        for prev, paths in ahead.pop(i, {}).items():
+            paths = sorted(set(paths))[:best]
+            for j, x, c, odd in here:
+                step = c + (cost.get(prev + x.lower()[:1], 14.0) if x and cost else 0.0)
+                ahead.setdefault(j, {}).setdefault(x.lower()[-1:] or prev, []).extend((d + step, p + x, o or odd) for d, p, o in paths)
+    ends = [(d + (cost.get(x + "$", 14.0) if cost else 0.0), p, o) for x, paths in ahead.get(len(arcs), {}).items() for d, p, o in sorted(set(paths))[:best]]
+    return [(p, o) for _, p, o in sorted(ends)[:best]]
+
+
+LONG = 40  # longer words are read once, not in several ways
+
+
+def readings(word: str, cost: dict[str, float] | None = None, wild: str = "", best: int = 6) -> list[tuple[str, str, bool]]:
+    """(reading, how, is the misreading plain) for each way that explains ``word``, best first for each codec.
+
+    UTF-8 may have been misread twice; both steps are offered. Where bytes were lost, ``best``
+    readings of each lattice come out (one, if the word is long), without ``wild`` the lost bytes stay.
+    """
+    cost, out = cost or {}, {}
+    lost = LOST in word and bool(wild)
+    many = (best if len(word) <= LONG else 1) if lost else 1
+    alone = lost  # lost bytes alone make the same lattice under each codec
     for codec in MISREAD_AS:
-        once, odd = from_utf8(word, codec)
-        if once != word:
-            out.setdefault(once, (f"utf-8 as {codec}", odd))
-            for again in MISREAD_AS:
-                twice, odd2 = from_utf8(once, again)
-                if twice != once and odd and odd2:
-                    out.setdefault(twice, (f"utf-8 as {codec}, twice", True))
-    if LOST not in word:
+        if not traces(codec).search(word):
+            if not alone:
+                continue
+            alone = False
+        for r, odd in search(misread_utf8(word, codec, wild), cost, many):
+            if r == word:
+                continue
+            how = "lost bytes" if lost else f"utf-8 as {codec}"
+            out.setdefault(r, (how, odd))
+            if odd and not lost:
+                for again in MISREAD_AS:
+                    if not traces(again).search(r):
+                        continue
+                    for twice, odd2 in search(misread_utf8(r, again, wild), cost, 1):
+                        if twice != r and odd2:
+                            out.setdefault(twice, (f"utf-8 as {codec}, twice", True))
+    if LOST not in word:  # each byte of a single-byte codec is one character: the lattice has one path
+        signs = {ord(c) for c in word if ord(c) > 127}
         for shown in SINGLE_BYTE:
             for meant in SINGLE_BYTE:
-                if shown != meant and (r := recode(word, shown, meant)) and r != word:
-                    out.setdefault(r, (f"{meant} as {shown}", False))
+                if shown != meant and signs <= recoding(shown, meant).keys():
+                    r = word.translate(recoding(shown, meant))
+                    if r != word:
+                        out.setdefault(r, (f"{meant} as {shown}", False))
     return [(r, how, odd) for r, (how, odd) in out.items()]
 
 
@@ -128,8 +196,11 @@ def _core(c):
 
 
 def _odd_words(text: str):
-    """The distinct cores of the words with non-ASCII characters (those longer in bytes than in characters)."""
-    odd = F.filter(F.split(text, r"[ \t\r\n\f]+"), lambda w: F.octet_length(w) != F.length(w))
+    """The distinct cores of the words with non-ASCII characters (those longer in bytes than in characters) or ? between letters.
+
+    Such a ? stands for a lost byte, as U+FFFD does.
+    """
+    odd = F.filter(F.split(text, r"[ \t\r\n\f]+"), lambda w: (F.octet_length(w) != F.length(w)) | (w.contains("?") & w.rlike(ASKED)))
     return F.array_distinct(F.transform(odd, _core))
 
 
@@ -158,44 +229,28 @@ def bigrams(freq: DataFrame) -> dict[str, float]:
 
 
 def viterbi(word: str, cost: dict[str, float], wild: str, best: int = 6) -> list[str]:
-    """The ``best`` likeliest readings of a word that lost bytes, by Viterbi search.
-
-    The lattice has one node set per character: a kept character offers itself, U+FFFD offers every
-    character of ``wild`` and, as one character may have left several marks, nothing beside another
-    U+FFFD. Each node keeps its ``best`` cheapest paths.
-    """
-    beams: dict[str, list[tuple[float, str]]] = {"^": [(0.0, "")]}
-    for i, ch in enumerate(word):
-        nxt: dict[str, list[tuple[float, str]]] = defaultdict(list)
-        for prev, paths in beams.items():
-            if ch == LOST and i and word[i - 1] == LOST:
-                nxt[prev] += [(c + 1.0, p) for c, p in paths]
-            for x in wild if ch == LOST else ch:
-                step = cost.get(prev + x, 14.0)
-                nxt[x] += [(c + step, p + x) for c, p in paths]
-        beams = {x: sorted(set(ps))[:best] for x, ps in nxt.items()}
-    ends = [(c + cost.get(x + "$", 14.0), p) for x, ps in beams.items() for c, p in ps]
-    return [p for _, p in sorted(ends)[:best]]
+    """The ``best`` likeliest readings of a word that lost bytes."""
+    return [r for r, _ in search(misread_utf8(word, MISREAD_AS[0], wild), cost, best)]
 
 
 CANDIDATES = "core string, reading string, rcore string, how string, structural boolean, plain boolean"
 
 
 def candidates(odd: DataFrame, cost: dict[str, float]) -> DataFrame:
-    """(core, reading, rcore, how, structural) of the distinct words with non-ASCII characters."""
+    """(core, reading, rcore, how, structural, plain) of the distinct words with non-ASCII characters.
+
+    A word that lost bytes also has a row without reading: it is damaged, whatever fits.
+    """
     wild = "".join(sorted({x for p in cost for x in p if ord(x) > 127}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for w in b["core"]:
-                found = readings(w)
-                for r, how, odd_ in found:
-                    out.append((w, r, core(r).lower(), how, how.startswith("utf-8"), odd_))
-                for r in {r for r, _, _ in found if LOST in r} | ({w} if LOST in w else set()):
-                    out.append((w, r, None, "lost bytes", True, True))
-                    if wild and any(map(str.isalpha, r)) and len(r) <= 40:
-                        out += [(w, x, core(x).lower(), "lost bytes", True, True) for x in viterbi(r.lower(), cost, wild)]
+                if LOST in w:
+                    out.append((w, w, None, "lost bytes", True, True))
+                for r, how, odd_ in readings(w, cost, wild if any(map(str.isalpha, w)) else ""):
+                    out.append((w, r, core(r).lower(), how, how.startswith(("utf-8", "lost")), odd_))
             yield pd.DataFrame(out, columns=["core", "reading", "rcore", "how", "structural", "plain"])
 
     return odd.mapInPandas(run, CANDIDATES)
@@ -223,17 +278,22 @@ def damaged_words(df: DataFrame, text: str = "text", ratio: float = 4.0) -> Data
     are of texts that hold the word in any case.
 
     Only the distinct words with non-ASCII characters reach Python; their readings meet the word
-    frequencies in equi joins. Nothing is collected or broadcast.
+    frequencies in equi joins. Only the table of character pairs (``bigrams``), which the alphabet
+    bounds, is collected and sent to the tasks. A word with ? between letters counts as damaged only
+    if a known word with a non-ASCII character at that place fits it.
     """
     counts = cut(word_counts(df, text))
     freq = cut(counts.groupBy(F.lower("core").alias("core")).agg(F.sum("freq").alias("freq")))
     odd = counts.where(F.col("core").rlike(SUSPECT))
+    asked = counts.where(F.col("core").rlike(ASKED) & ~F.col("core").rlike(SUSPECT))
     cand = candidates(odd.select("core"), bigrams(freq))
     mask = lambda c: F.regexp_replace(F.lower(c), r"[^\x00-\x7f]+", LOST)
     known = freq.where(F.col("core").rlike(SUSPECT) & ~F.col("core").contains(LOST) & (F.col("freq") >= 2))
-    fits = odd.where(F.col("core").contains(LOST)).select("core", mask("core").alias("mask")).join(known.groupBy(mask("core").alias("mask")).agg(F.max_by("core", F.struct("freq", "core")).alias("reading")), "mask")
+    lost = odd.where(F.col("core").contains(LOST)).unionByName(asked)
+    lost = lost.select("core", mask(F.regexp_replace("core", r"(?<=\p{L})\?(?=\p{L})", LOST)).alias("mask"))
+    fits = lost.join(known.groupBy(mask("core").alias("mask")).agg(F.max_by("core", F.struct("freq", "core")).alias("reading")), "mask")
     cand = cand.unionByName(fits.select("core", "reading", F.col("reading").alias("rcore"), F.lit("lost bytes").alias("how"), F.lit(True).alias("structural"), F.lit(True).alias("plain")))
-    own = odd.select("core", F.lower("core").alias("l")).join(freq.select(F.col("core").alias("l"), "freq"), "l").drop("l")
+    own = odd.unionByName(asked).select("core", F.lower("core").alias("l")).join(freq.select(F.col("core").alias("l"), "freq"), "l").drop("l")
     cand = cand.join(own, "core").join(freq.select(F.col("core").alias("rcore"), F.col("freq").alias("rfreq")), "rcore", "left").fillna({"rfreq": 0})
     credible = F.pandas_udf(_sound, "boolean")
     by_utf8 = (credible("reading") & (F.col("plain") | (ratio * F.col("rfreq") >= F.col("freq")))) | (F.col("rfreq") > F.col("freq"))
@@ -260,7 +320,7 @@ def as_written(word: str, reading: str) -> str:
     i = word.find(own) if own else -1
     if i < 0:
         return word
-    if LOST in own:
+    if LOST in own or "?" in own:
         reading = reading.upper() if own.isupper() and len(own) > 2 else reading[:1].upper() + reading[1:] if own[:1].isupper() else reading
     return word[:i] + reading + word[i + len(own) :]
 
@@ -273,7 +333,7 @@ def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     src = df.select(key, text)
     bad = cut(damaged_words(src, text))
-    ids = src.where(F.col(text).rlike(SUSPECT))
+    ids = src.where(F.col(text).rlike(SUSPECT) | F.col(text).rlike(ASKED))
     parts = ids.select(key, F.posexplode(F.split(text, r"(?<=[ \t\r\n\f])(?![ \t\r\n\f])")).alias("pos", "part"))
     parts = parts.withColumn("word", F.regexp_replace("part", r"[ \t\r\n\f]+$", "")).withColumn("core", _core("word"))
 

@@ -35,39 +35,58 @@ def exponent_for_entropy(shares: list[float], target: float) -> float:
     return bisect(lambda x: entropy(temperature_weights(shares, x)) >= target, 0.0, 1.0)
 
 
-def exponent_for_repeats(shares: list[float], repeats: list[float], total: float) -> float:
-    """The smallest exponent in 0..1 (the flattest weights) at which drawing ``total`` times the corpus
-    repeats no source beyond its limit; 1 if none does."""
-    ok = lambda x: all(w * total <= r * s + 1e-12 for w, r, s in zip(temperature_weights(shares, x), repeats, shares, strict=True))
-    return 1.0 - bisect(lambda x: ok(1.0 - x), 0.0, 1.0) if ok(1.0) else 1.0
-
-
-def budgets(available: dict[str, int], targets: dict[str, float | None], repeats: dict[str, int], total: int | None = None) -> dict[str, int]:
-    """Tokens to draw from each source.
-
-    Sources without a target weight share what the others leave, by their token shares raised to
-    the exponent that makes the flattest mix within the repetition limits. A source gives at most its
-    tokens times its limit; the budget is then the least scale of all weights, found by bisection, at
-    which the sum reaches ``total`` (by default the tokens of all listed sources). So every source
-    that doesn't run short keeps its weight against the others, and those that do give all they may.
+def plan(available: dict[str, int], targets: dict[str, float | None], repeats: dict[str, int], total: int | None = None) -> tuple[dict[str, int], float]:
+    """(tokens to draw from each source, the temperature exponent).
+
+    Each source gets its target share of ``total`` (by default the tokens of all listed sources), at
+    most its tokens times its repetition limit. What sources without a target, and the room that
+    short or empty sources leave, come to is shared by temperature weights: the sources' token
+    shares raised to an exponent in 0..1. It is bisected to the largest one (the nearest to natural
+    shares) at which the whole mix still has the entropy of the targets, as far as any exponent
+    gives it, and no open source goes beyond its limit; a source that would is drawn to its limit, and
+    the rest is shared anew. If all limits together are less than ``total``, all give what they may.
     """
     names = list(targets)
     limit = {s: available.get(s, 0) * max(0, repeats.get(s) or 0) for s in names}
-    w = {s: max(0.0, t) for s, t in targets.items() if t is not None}
-    open_ = [s for s in names if s not in w]
-    if open_:
-        size = sum(available.get(s, 0) for s in open_)
-        shares = [available.get(s, 0) / size if size else 0.0 for s in open_]
-        x = exponent_for_repeats(shares, [float(repeats.get(s) or 0) for s in open_], 1.0)
-        left = max(0.0, 1.0 - sum(w.values()))
-        w |= {s: left * v for s, v in zip(open_, temperature_weights(shares, x), strict=True)}
     total = sum(available.get(s, 0) for s in names) if total is None else total
-    most = sum(min(limit[s], math.inf if w[s] > 0 else 0) for s in names)
-    if most <= total:
-        return {s: limit[s] if w[s] > 0 else 0 for s in names}
-    small = min((w[s] for s in names if w[s] > 0), default=1.0)
-    scale = bisect(lambda x: sum(min(limit[s], x * w[s]) for s in names) <= total, 0.0, max(1.0, max(limit.values())) / small)
-    return {s: int(min(limit[s], scale * w[s])) for s in names}
+    asked = {s: max(0.0, t) * total for s, t in targets.items() if t is not None}
+    wanted = [s for s in names if targets[s] is None or asked[s] > 0]
+    if sum(limit[s] for s in wanted) <= total:
+        return {s: limit[s] if s in wanted else 0 for s in names}, 1.0
+    goal = entropy([t / total for t in asked.values()]) if len(asked) == len(names) and total else math.inf
+    fixed: dict[str, float] = {s: float(limit[s]) for s in wanted if asked.get(s, 0.0) > limit[s] or not limit[s]}
+    while True:
+        open_ = [s for s in wanted if s not in fixed]
+        left = total - sum(fixed.values()) - sum(asked.get(s, 0.0) for s in open_)
+        size = sum(available[s] for s in open_)
+        shares = [available[s] / size for s in open_]
+
+        def mix(x: float) -> dict[str, float]:
+            return fixed | {s: asked.get(s, 0.0) + left * w for s, w in zip(open_, temperature_weights(shares, x), strict=True)}  # noqa: B023
+
+        def within(x: float) -> bool:
+            return all(v <= limit[s] + 1e-6 for s, v in mix(x).items())  # noqa: B023
+
+        most = max((x / 64 for x in range(65)), key=lambda x: entropy([v / total for v in mix(x).values()]))  # noqa: B023
+        floor = min(goal, entropy([v / total for v in mix(most).values()]) - 1e-9)
+        x = bisect(lambda x: entropy([v / total for v in mix(x).values()]) >= floor, most, 1.0)  # noqa: B023
+        if not within(x) and within(most):
+            x = bisect(within, most, x)
+        over = [s for s in open_ if mix(x)[s] > limit[s] + 1e-6]
+        if not over:
+            got = mix(x)
+            return {s: int(got.get(s, 0.0) + 1e-6) for s in names}, x
+        fixed |= {s: float(limit[s]) for s in over}
+
+
+def budgets(available: dict[str, int], targets: dict[str, float | None], repeats: dict[str, int], total: int | None = None) -> dict[str, int]:
+    """Tokens to draw from each source; see ``plan``."""
+    return plan(available, targets, repeats, total)[0]
+
+
+def blocks_for(rows: int, of: int = 500_000) -> int:
+    """Blocks of a permutation, so that each holds some ``of`` records at most; between 1,024 and 131,072."""
+    return min(1 << 17, max(BLOCKS, -(-rows // of)))
 
 
 def source_key(c):

@@ -96,7 +96,7 @@ def deletes(w: str, n: int) -> set[str]:
 
 
 LEXICON: dict[str, set[str]] = {}
-for _x in {*TRADE, *GIVEN, *LEGAL}:
+for _x in {*TRADES, *(x for x in TRADE if len(x) > 5), *GIVEN, *LEGAL}:  # short abbreviations must be met exactly
     if len(_x) >= 4:
         for _y in deletes(_x, 1 if len(_x) < 9 else 2):
             LEXICON.setdefault(_y, set()).add(_x)
@@ -111,7 +111,10 @@ def near_lexicon(w: str) -> list[str]:
 
 @lru_cache(100_000)
 def lexical(w: str) -> tuple[str, frozenset[str]]:
-    """Class of a plain lower-case word: 'legal', 'trade', 'given', 'initial' or 'own', with its canonical forms."""
+    """Class of a plain lower-case word: 'legal', 'trade', 'given', 'initial', 'short' or 'own', with its canonical forms.
+
+    A short word of two or three letters is a name of its own where a name has no other.
+    """
     if len(w) == 1:
         return "initial", frozenset([w])
     if w in LEGAL or w in FILLERS:
@@ -121,7 +124,7 @@ def lexical(w: str) -> tuple[str, frozenset[str]]:
     if w in GIVEN:
         return "given", frozenset(GIVEN[w])
     if len(w) < 4:
-        return ("own", frozenset([w])) if w in GENERIC else ("legal", frozenset())
+        return ("own" if w in GENERIC else "legal" if w.isdigit() else "short", frozenset([w]))
     for x in near_lexicon(w):
         if x in TRADE:
             return "trade", frozenset([TRADE[x]])
@@ -148,7 +151,7 @@ def parse(text: str) -> Name:
     s = plain(text)
     s = re.sub(r"\b((?:[A-Za-z]\.){2,})", lambda m: m.group(0).replace(".", ""), s)
     s = re.sub(r"(?<=[a-z]{3})(?=[A-Z][a-z]{2})", " ", s)
-    own, trades, given, raw, initials = [], set(), set(), [], []
+    own, trades, given, raw, initials, short = [], set(), set(), [], [], []
     for w in re.findall(r"[a-z0-9']+", s.lower()):
         w = w.strip("'")
         kind, forms = lexical(w) if w else ("legal", frozenset())
@@ -161,9 +164,13 @@ def parse(text: str) -> Name:
             raw.append(w)
         elif kind == "initial":
             initials.append(w)
+        elif kind == "short":
+            short.append(w)
     if trades and given:  # a firm: what looks like a given name is a word of its own or a legal form
         own += raw if len(own) < 2 else []
         given = set()
+    if not own and not given:
+        own = short
     if len(own) > 2:  # one of them is a badly misspelt common word
         for w in sorted(own, key=len):
             t = {TRADE[x] for x in TRADE if len(x) > 4 and len(w) > 4 and distance(w, x, 2) <= 2}
@@ -217,12 +224,20 @@ def alike(a: str, b: str) -> bool:
 
 
 def form_of(n: Name) -> str | None:
-    """The words that identify a name: two own words, one and an initial, or a lone one of six letters or more."""
+    """The words that identify a name: two own words, one and an initial, or a lone one."""
     if len(n.own) >= 2:
         return " ".join(n.own)
     if len(n.own) == 1 and n.initials and len(n.own[0]) >= 5:
         return f"{n.initials[0]} {n.own[0]}"
-    return n.own[0] if len(n.own) == 1 and len(n.own[0]) >= 6 else None
+    return n.own[0] if len(n.own) == 1 else None
+
+
+def is_slight(form: str) -> bool:
+    """True for a form of a word and an initial and for a lone word under six letters: it counts only for records that have no fuller one."""
+    return form[1:2] == " " or (" " not in form and len(form) < 6)
+
+
+SLIGHT = r"^. |^[^ ]{1,5}$"
 
 
 def keys_of(form: str) -> set[str]:
@@ -323,11 +338,12 @@ def near_forms(forms: DataFrame, most: int = 64) -> DataFrame:
 def name_families(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The parsed names of ``records`` (entity_id and one name each) and (entity_id, family) of those with a form.
 
-    A family is a component of records and name forms; a form of one word and an initial counts only
-    for records that have no fuller one, so that it doesn't tie families together.
+    A family is a component of records and name forms; a slight form (a word and an initial, or one
+    short word such as "ibm") counts only for records that have no fuller one, so that it doesn't
+    tie families together.
     """
     p = cut(parse_names(records))
-    named = p.where("form is not null").select("entity_id", "form", F.col("form").rlike("^. ").alias("short")).distinct()
+    named = p.where("form is not null").select("entity_id", "form", F.col("form").rlike(SLIGHT).alias("short")).distinct()
     full = named.where("not short").select("entity_id").distinct()
     named = named.where("not short").unionByName(named.where("short").join(full, "entity_id", "left_anti")).drop("short")
     alike_forms = near_forms(named.select("form").distinct())

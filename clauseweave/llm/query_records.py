@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from clauseweave.llm.components import contract
 from clauseweave.llm.hosts import evidence_of
-from clauseweave.llm.linkage import match_sources
+from clauseweave.llm.linkage import match_sources, reliability, score_pairs
 from clauseweave.llm.names import name_families, resolve_names, same_records
 from clauseweave.llm.queries import LLM
 from clauseweave.plans.session import cut, table
@@ -53,8 +53,8 @@ def p6_clusters(spark, folder):
     return ids.join(r.join(low, ["family", "kind"]).select("entity_id", "cluster_id"), "entity_id", "left").select("entity_id", F.coalesce("cluster_id", "entity_id").alias("cluster_id"))
 
 
-def matches(spark, folder):
-    """(entity_id, permalink, confidence) of the candidate pairs of both lists.
+def sides(spark, folder):
+    """(records, list entries, and the four tables of ``score_pairs``) of both lists.
 
     Both lists' names go through ``resolve_names`` together, so that a record which doesn't state
     its trade or given name takes the kind that its family shows.
@@ -77,7 +77,13 @@ def matches(spark, folder):
     right = firm.groupBy("rid").agg(F.max("name").alias("name")).join(kinds.withColumnRenamed("id", "rid"), "rid", "left")
     lh = hosts.join(info.select(F.col("lid").alias("entity_id")).distinct(), "entity_id").select(F.col("entity_id").alias("lid"), F.col("token").alias("host"))
     rh = hosts.join(firm.select(F.col("rid").alias("entity_id")).distinct(), "entity_id").select(F.col("entity_id").alias("rid"), F.col("token").alias("host"))
-    m = match_sources(left, right, lh, rh)
+    return info, firm, (left, right, lh, rh)
+
+
+def matches(spark, folder):
+    """(entity_id, permalink, confidence) of the candidate pairs of both lists."""
+    info, firm, tables = sides(spark, folder)
+    m = match_sources(*tables)
     m = m.join(info.select("lid", "entity_id").distinct(), "lid").join(firm.select("rid", "permalink").distinct(), "rid")
     return m.select("entity_id", "permalink", "confidence")
 
@@ -90,3 +96,9 @@ def p4_found(spark, folder):
 @LLM.add("p4_confidence")
 def p4_confidence(spark, folder):
     return matches(spark, folder).where("confidence >= 0.05").withColumn("confidence", F.round("confidence", 3))
+
+
+@LLM.add("p4_reliability")
+def p4_reliability(spark, folder):
+    """How far the confidences of names alone hold: predicted and observed share of common hosts, by tenths."""
+    return reliability(*score_pairs(*sides(spark, folder)[2]))

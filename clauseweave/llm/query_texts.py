@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from clauseweave.llm.encoding import garbled_ids, restore
-from clauseweave.llm.mixing import budgets, draw, source_key
+from clauseweave.llm.mixing import blocks_for, draw, plan, source_key
 from clauseweave.llm.packing import pack
 from clauseweave.llm.queries import LLM
 from clauseweave.llm.tokens import count_tokens
@@ -38,15 +38,17 @@ def p8_fill(spark, folder):
 
 
 def mixture(spark, folder):
-    """(sized documents, per-source statistics, targets, drawn records)."""
+    """(sized documents, temperature exponent, targets, drawn records)."""
     sized = sized_documents(spark, folder)
     # one row per listed source: bounded by the list of targets
     targets = [(r[0].strip().lower(), r[1], int(r[2] or 0)) for r in table(spark, folder, "mix_targets").select("source", "target_share", "max_repeats").where("source is not null").collect()]
     share, repeats = {s: t for s, t, _ in targets}, {s: m for s, _, m in targets}
     listed = sized.where(F.col("source").isin(list(share)))
-    have = {r[0]: int(r[1] or 0) for r in listed.groupBy("source").agg(F.sum("tokens")).collect()}
-    drawn = draw(listed, budgets(have, share, repeats), have)
-    return sized, have, targets, drawn
+    stats = listed.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()
+    have = {r[0]: int(r[1] or 0) for r in stats}
+    budget, exponent = plan(have, share, repeats)
+    drawn = draw(listed, budget, have, blocks=blocks_for(max([r[2] for r in stats], default=0)))
+    return sized, exponent, targets, drawn
 
 
 @LLM.add("p9_draws")
@@ -57,8 +59,8 @@ def p9_draws(spark, folder):
 
 @LLM.add("p9_shares")
 def p9_shares(spark, folder):
-    """Per source: target and reached share, what it has, what was drawn, how often at most."""
-    sized, _, targets, drawn = mixture(spark, folder)
+    """Per source: target and reached share, what it has, what was drawn, how often at most, and the exponent of the mix."""
+    sized, exponent, targets, drawn = mixture(spark, folder)
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     have = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("available_tokens"))
     each = drawn.groupBy("source", "id").agg(F.count("*").alias("times"), F.sum("tokens").alias("tokens"))
@@ -67,7 +69,7 @@ def p9_shares(spark, folder):
     r = t.join(have, "source", "full").join(got, "source", "left").crossJoin(F.broadcast(total)).fillna(0, ["documents", "available_tokens", "drawn_tokens", "draws", "most_repeats"])
     limit = F.col("available_tokens") * F.col("max_repeats")
     state = F.when(F.col("target_share").isNull(), "unlisted").when(F.col("available_tokens") == 0, "empty").when(F.col("drawn_tokens") >= limit, "short").otherwise("met")
-    return r.select("source", "target_share", F.round(F.col("drawn_tokens") / F.col("total"), 6).alias("reached_share"), "max_repeats", "most_repeats", "documents", "available_tokens", "drawn_tokens", "draws", state.alias("state"))
+    return r.select("source", "target_share", F.round(F.col("drawn_tokens") / F.col("total"), 6).alias("reached_share"), "max_repeats", "most_repeats", "documents", "available_tokens", "drawn_tokens", "draws", state.alias("state"), F.lit(round(exponent, 6)).alias("exponent"))
 
 
 @LLM.add("p10_found")

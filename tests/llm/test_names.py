@@ -41,3 +41,15 @@ def test_refined_keys_lose_no_pair():
             hits += 1
             assert all(N.refined(a, k) & N.refined(b, k) for k in shared), (a, b)
     assert hits > 1000
+
+
+@pytest.mark.parametrize("a,b", [("Nokia GmbH", "NOKIA Corp."), ("IBM", "I.B.M. Inc."), ("SAP SE", "sap ag"), ("Apple Inc", "apple"), ("Intel Corporation", "INTEL corp"), ("Adobe Systems", "Adobe Sys"), ("Zoom Video", "ZOOM Video Inc")])
+def test_short_names_have_forms(a, b):
+    assert N.form_of(N.parse(a)) == N.form_of(N.parse(b)) is not None
+
+
+def test_short_names_link_only_without_fuller_ones(spark):
+    rows = [(1, "Nokia GmbH"), (2, "Nokia Corp."), (3, "Nokia"), (3, "Wevnok Fasridtix"), (4, "Wevnok Fasridtix Ltd"), (5, None)]
+    _, fam = N.name_families(spark.createDataFrame(rows, "entity_id long, name string"))
+    f = {r.entity_id: r.family for r in fam.collect()}
+    assert f[1] == f[2] != f[3] == f[4] and 5 not in f

@@ -121,3 +121,35 @@ def test_match_sources(spark):
     got = {(r.lid, r.rid) for r in m.where("confidence >= 0.5").collect()}
     want = {(i, c) for i, (c, _, _) in enumerate(firms)}
     assert len(got & want) >= 76 and len(got - want) <= 2
+
+
+def test_isotonic_against_brute_force():
+    rng = np.random.default_rng(2)
+    s = np.sort(rng.random(40))
+    y = (rng.random(40) < s).astype(float)
+    at, rate = K.isotonic(s, y)
+    fitted = np.interp(s, at, rate)
+    assert (np.diff(rate) > 0).all() and abs(fitted.mean() - y.mean()) < 0.05
+    best = [max(min(y[i : j + 1].mean() for j in range(k, 40)) for i in range(k + 1)) for k in range(40)]
+    assert np.abs(np.unique(np.round(rate, 9)) - np.unique(np.round(best, 9))).max() < 1e-6
+
+
+def test_few_labels_stay_near_the_prior():
+    x = np.zeros((3, len(K.FEATURES)))
+    m = K.Model(x, np.array([1.0, 0.0, -1.0]))
+    assert np.abs(m.w - K.PRIOR).max() < 3 and 0 < m.u < m.m < 1
+    none = K.Model(x, np.full(3, -1.0))
+    assert np.allclose(none.w, K.PRIOR, atol=1e-3) and none.probability(x, np.array([1.0, 0.0, -1.0])).shape == (3,)
+
+
+def test_reliability(spark):
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choices(["wev", "fas", "kor", "lim", "tad", "nex", "gub", "pol"], k=k))
+    firms = [(i, f"{word(2)} {word(3)}") for i in range(60)]
+    left = spark.createDataFrame([(i, [n], None, None) for i, n in firms], "lid long, names array<string>, third string, kind string")
+    right = spark.createDataFrame([(i, n.title(), None) for i, n in firms], "rid long, name string, kind string")
+    hosts = [(i, f"h{i}.example") for i in range(60)]
+    args = (left, right, spark.createDataFrame(hosts, "lid long, host string"), spark.createDataFrame(hosts, "rid long, host string"))
+    r = K.reliability(*K.score_pairs(*args)).toPandas()
+    assert r.pairs.sum() >= 60 and r.predicted.between(0, 1).all()
+    assert K.reliability(*K.score_pairs(left.limit(0), right, *args[2:])).count() == 0
