@@ -53,12 +53,17 @@ def contradictions(edges: DataFrame, purposes: DataFrame, reach0: DataFrame) ->
     c = c.join(labels, ["policy_id", "src", "dst", "key"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("action", F.regexp_replace("key", "^NOT_", ""))
     pos = c.where(~F.col("key").startswith("NOT_")).select("policy_id", "action", F.col("src").alias("pos_src"), F.col("dst").alias("pos_dst"), F.col("labels").alias("pos_labels"))
     neg = c.where(F.col("key").startswith("NOT_")).select("policy_id", "action", F.col("src").alias("neg_src"), F.col("dst").alias("neg_dst"), F.col("labels").alias("neg_labels"))
-    both = pos.join(neg, ["policy_id", "action"]).where((F.size("neg_labels") == 0) | F.arrays_overlap("pos_labels", "neg_labels"))
-    below = reach0.select("policy_id", F.col("src").alias("a"), "dst").join(reach0.select("policy_id", F.col("src").alias("b"), "dst"), ["policy_id", "dst"]).select("policy_id", "a", "b").distinct()
     wider = reach0.where("src <> dst").select("policy_id", F.col("src").alias("a"), F.col("dst").alias("b"))
-    alike = below.join(wider, ["policy_id", "a", "b"], "left_anti")
-    for p, n in (("pos_src", "neg_src"), ("pos_dst", "neg_dst")):
-        both = both.join(alike.withColumnsRenamed({"a": p, "b": n}), ["policy_id", p, n], "left_semi")
+
+    def alike(p: str, n: str) -> DataFrame:
+        """(policy_id, p, n): ends of a positive and a negative statement that overlap without the former being the wider."""
+        a = reach0.select("policy_id", F.col("src").alias("a"), "dst").join(pos.select("policy_id", F.col(p).alias("a")).distinct(), ["policy_id", "a"], "left_semi")
+        b = reach0.select("policy_id", F.col("src").alias("b"), "dst").join(neg.select("policy_id", F.col(n).alias("b")).distinct(), ["policy_id", "b"], "left_semi")
+        both = a.join(b, ["policy_id", "dst"]).select("policy_id", "a", "b").distinct()
+        return both.join(wider, ["policy_id", "a", "b"], "left_anti").withColumnsRenamed({"a": p, "b": n})
+
+    both = pos.join(alike("pos_dst", "neg_dst"), ["policy_id", "pos_dst"]).join(neg, ["policy_id", "action", "neg_dst"])
+    both = both.where((F.size("neg_labels") == 0) | F.arrays_overlap("pos_labels", "neg_labels")).join(alike("pos_src", "neg_src"), ["policy_id", "pos_src", "neg_src"], "left_semi")
     return both.select("policy_id", "action", "pos_src", "pos_dst", "neg_src", "neg_dst")
 
 

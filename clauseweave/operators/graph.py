@@ -7,6 +7,7 @@ holds a large part of all edges is spread over all tasks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from clauseweave.operators.hierarchy import clean_term
@@ -66,6 +67,31 @@ def closure(edges: DataFrame, group: str = "policy_id", reflexive: bool = False,
     return r.select(F.col("_g").alias(group), "src", "dst", "dist")
 
 
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """(policy_id, node, top, dist, path): for each node and each above it the shortest path up, the first by its text (GQ-25).
+
+    By doubling, as ``closure``: the first of the shortest paths is made of such paths. path joins the
+    terms from the node to the top by ' < '.
+    """
+    e = edges.select("policy_id", F.col("dst").alias("node"), F.col("src").alias("top")).dropna().where("node <> top").distinct()
+    r = cut(e.select("policy_id", "node", "top", F.struct(F.lit(1).alias("dist"), F.array("node", "top").alias("path")).alias("r")))
+    before = None
+    while (now := r.agg(F.count("*"), F.sum("r.dist")).first()) != before:
+        before = now
+        a = r.select("policy_id", "node", F.col("top").alias("mid"), F.col("r").alias("r1"))
+        b = r.select("policy_id", F.col("node").alias("mid"), "top", F.col("r").alias("r2"))
+        step = a.join(b, ["policy_id", "mid"]).where("node <> top").select("policy_id", "node", "top", F.struct((F.col("r1.dist") + F.col("r2.dist")).alias("dist"), F.concat("r1.path", F.slice("r2.path", 2, 1_000_000)).alias("path")).alias("r"))
+        r = cut(r.unionByName(step).groupBy("policy_id", "node", "top").agg(F.min("r").alias("r")))
+    return r.select("policy_id", "node", "top", F.col("r.dist").cast("int").alias("dist"), F.array_join("r.path", " < ").alias("path"))
+
+
+def fold(df: DataFrame, keys: list[str], f, out: str) -> DataFrame:
+    """A user's aggregate: ``f`` of the pandas rows of each key (UDX-08). Rows should be combined before, as a key's rows meet in one task."""
+    name = out.split()[0]
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + out
+    return df.groupBy(*keys).applyInPandas(lambda key, g: pd.DataFrame([(*key, f(g))], columns=[*keys, name]), schema)
+
+
 def node_types(edges: DataFrame) -> DataFrame:
     """(policy_id, node, type): ACTOR for sources of collect-like edges and what SUBSUM ties to them, else DATA (D12, BLD-01, BLD-04)."""
     sub = edges.where("key = 'SUBSUM'")
@@ -99,10 +125,10 @@ def rename_nodes(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return j.where("src <> dst").distinct()
 
 
-def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """The edges of a DAG that no longer path replaces (BLD-08, GRA-06)."""
+def transitive_reduction(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """The edges of a DAG that no longer path replaces (BLD-08, GRA-06). reach: their ``closure``, where it is known."""
     e = edges.select("policy_id", "src", "dst").distinct()
-    far = closure(e).select("policy_id", F.col("src").alias("mid"), "dst")
+    far = (closure(e) if reach is None else reach).select("policy_id", F.col("src").alias("mid"), "dst")
     longer = e.withColumnRenamed("dst", "mid").join(far, ["policy_id", "mid"]).where("mid <> dst").select("policy_id", "src", "dst").distinct()
     return e.join(longer, ["policy_id", "src", "dst"], "left_anti")
 
@@ -114,6 +140,62 @@ def acyclic(edges: DataFrame) -> DataFrame:
     return e.where("src <> dst").join(back, ["policy_id", "src", "dst"], "left_anti")
 
 
+def without_closing_edges(edges: DataFrame, rank: list[str] | None = None) -> DataFrame:
+    """The edges that remain if they are added in order of ``rank`` (their ends, unless given) and each that would close a loop is left out (BLD-05).
+
+    Only edges on loops need an order. In each round the least greatest rank of any path is found for all
+    pairs of their nodes, by doubling: an undecided edge whose way back always needs a later edge stays; one
+    with a way back over earlier edges that stay goes. The first undecided edge of each policy is decided in
+    each round, and usually all are. Self loops go, repeats count once, by their first.
+    """
+    order = F.struct(*(rank or ["src", "dst"])).alias("rank")
+    e = edges.select("policy_id", "src", "dst", order).dropna(subset=["policy_id", "src", "dst"]).where("src <> dst").groupBy("policy_id", "src", "dst").agg(F.min("rank").alias("rank"))
+    e = cut(e)
+    back = closure(e).select("policy_id", F.col("src").alias("dst"), F.col("dst").alias("src"))
+    open_ = cut(e.join(back, ["policy_id", "src", "dst"], "left_semi"))
+    kept = e.join(open_, ["policy_id", "src", "dst"], "left_anti")
+    if not open_.limit(1).count():
+        return e.select("policy_id", "src", "dst")
+    stay = open_.limit(0)
+    while open_.limit(1).count():
+        fits = _no_way_back(open_, _least_greatest(stay.unionByName(open_)))
+        sure = cut(stay.unionByName(fits))
+        open_ = open_.join(fits, ["policy_id", "src", "dst"], "left_anti")
+        open_, stay = cut(_no_way_back(open_, _least_greatest(sure))), sure
+    return kept.unionByName(stay).select("policy_id", "src", "dst")
+
+
+def dag_with_reach(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``without_closing_edges`` of edges (policy_id, src, dst) and the ``closure`` of what remains; one closure where there are no loops."""
+    e = cut(edges.select("policy_id", "src", "dst").dropna().where("src <> dst").distinct())
+    reach = closure(e)
+    if not reach.where("src = dst").limit(1).count():
+        return e, reach
+    kept = cut(without_closing_edges(e))
+    return kept, closure(kept)
+
+
+def _least_greatest(edges: DataFrame) -> DataFrame:
+    """(policy_id, src, dst, rank): for each pair that a path connects, the least rank that its dearest edge can have."""
+    r, before = cut(edges.groupBy("policy_id", "src", "dst").agg(F.min("rank").alias("rank"))), None
+    while True:
+        now = r.agg(F.count("*"), F.sum(F.xxhash64("src", "dst", "rank").cast("decimal(30,0)"))).first()
+        if now == before:
+            return r
+        before = now
+        a = r.select("policy_id", "src", F.col("dst").alias("mid"), F.col("rank").alias("r1"))
+        b = r.select("policy_id", F.col("src").alias("mid"), "dst", F.col("rank").alias("r2"))
+        step = a.join(b, ["policy_id", "mid"]).select("policy_id", "src", "dst", F.greatest("r1", "r2").alias("rank"))
+        r = cut(r.unionByName(step).groupBy("policy_id", "src", "dst").agg(F.min("rank").alias("rank")))
+
+
+def _no_way_back(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """The edges without a path from their target to their source over lower ranks only."""
+    p = paths.select("policy_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("rank").alias("way"))
+    bad = edges.join(p, ["policy_id", "src", "dst"]).where("way < rank").select("policy_id", "src", "dst")
+    return cut(edges.join(bad, ["policy_id", "src", "dst"], "left_anti"))
+
+
 def prune_redundant(collects: DataFrame, subsum: DataFrame) -> DataFrame:
     """Collect edges whose data term lies below one that the same actor has with at least its purposes (BLD-09).
 
@@ -143,26 +225,26 @@ def degrees(edges: DataFrame) -> DataFrame:
 def topological_depth(edges: DataFrame) -> DataFrame:
     """(policy_id, node, depth): length of the longest path that ends at a node of a DAG (GRA-05, SRT-10).
 
-    A node's depth is the number of rounds in which it still has an unresolved parent; nodes on or
-    below a loop never resolve and are left out.
+    By doubling: the longest way over at most 2^k edges between two nodes is the longest of two ways over
+    half as many, so the logarithm of the depth bounds the rounds. Nodes on a loop or below one have no
+    depth and are left out first.
     """
-    e = cut(edges.select("policy_id", "src", "dst").distinct())
-    nodes = e.select("policy_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    parts, level = [], 0
-    while True:
-        ready = cut(nodes.join(e.select("policy_id", F.col("dst").alias("node")).distinct(), ["policy_id", "node"], "left_anti"))
-        if not ready.limit(1).count():
-            break
-        parts.append(ready.withColumn("depth", F.lit(level)))
-        nodes = cut(nodes.join(ready, ["policy_id", "node"], "left_anti"))
-        e = cut(e.join(ready.withColumnRenamed("node", "src"), ["policy_id", "src"], "left_anti"))
-        level += 1
-    if not parts:
-        return nodes.withColumn("depth", F.lit(0)).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    e = edges.select("policy_id", "src", "dst").dropna().distinct()
+    near = closure(e)
+    loops = near.where("src = dst").select("policy_id", F.col("src").alias("node"))
+    lost = cut(loops.unionByName(near.join(loops.withColumnRenamed("node", "src"), ["policy_id", "src"], "left_semi").select("policy_id", F.col("dst").alias("node"))).distinct())
+    e = e.join(lost.withColumnRenamed("node", "dst"), ["policy_id", "dst"], "left_anti")
+    r = cut(e.join(lost.withColumnRenamed("node", "src"), ["policy_id", "src"], "left_anti").withColumn("dist", F.lit(1)))
+    before = None
+    while (now := r.agg(F.count("*"), F.sum("dist")).first()) != before:
+        before = now
+        a = r.select("policy_id", "src", F.col("dst").alias("mid"), F.col("dist").alias("d1"))
+        b = r.select("policy_id", F.col("src").alias("mid"), "dst", F.col("dist").alias("d2"))
+        step = a.join(b, ["policy_id", "mid"]).select("policy_id", "src", "dst", (F.col("d1") + F.col("d2")).alias("dist"))
+        r = cut(r.unionByName(step).groupBy("policy_id", "src", "dst").agg(F.max("dist").alias("dist")))
+    nodes = edges.select("policy_id", F.explode(F.array("src", "dst")).alias("node")).dropna().distinct().join(lost, ["policy_id", "node"], "left_anti")
+    deep = r.groupBy("policy_id", F.col("dst").alias("node")).agg(F.max("dist").alias("depth"))
+    return nodes.join(deep, ["policy_id", "node"], "left").select("policy_id", "node", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
 
 
 def keep_longest_sentences(text):

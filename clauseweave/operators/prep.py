@@ -77,36 +77,51 @@ def expand_templates(df: DataFrame, template: str) -> DataFrame:
     return df.withColumn("text", F.explode(F.pandas_udf(run, "array<string>")(template)))
 
 
+def choose(requests: DataFrame, words: DataFrame, seed: int = 0, per_bucket: int = 64) -> DataFrame:
+    """``requests`` (id, k, label) with a ``word`` of their label, drawn by hashes; labels without words give no row.
+
+    words: label, word; any number. Words lie in buckets of about ``per_bucket`` by their hash; a request
+    falls on one, and there on the word that comes first in its own hash order. So no list of all words is
+    ever brought together, and the draw is the same for any partitioning.
+    """
+    w = words.where("label is not null and word is not null").distinct()
+    sizes = w.groupBy("label").agg(F.greatest(F.lit(1), F.floor(F.count("*") / per_bucket)).cast("bigint").alias("n"))
+    at = w.join(sizes, "label").select("label", "word", F.pmod(F.xxhash64("word"), F.col("n")).alias("b"))
+    full = at.groupBy("label").agg(F.array_sort(F.collect_set("b")).alias("full"))  # numbers of the buckets that aren't empty
+    r = requests.join(full, "label").withColumn("b", F.col("full")[F.pmod(F.xxhash64("id", "k", F.lit(seed)), F.size("full")).cast("int")])
+    one = r.join(at, ["label", "b"]).groupBy("id", "k").agg(F.min(F.struct(F.xxhash64("word", "id", "k", F.lit(seed)).alias("h"), "word")).alias("c"))
+    return one.select("id", "k", F.col("c.word").alias("word"))
+
+
 def fill_slots(templates: DataFrame, words: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` sentences with filled %LABEL% slots and the spans of the fillings (PRE-11, PRE-21).
 
-    templates: template; words: label, word (a short vocabulary, so it is collected per label as an
-    array of bounded size and broadcast). Choices are hashes of the sentence number, so the sample is
-    the same for any partitioning.
+    templates: template; words: label, word. Templates and words are drawn by ``choose``. A slot whose label
+    has no words takes the label in lower case.
     """
-    vocab = words.groupBy("label").agg(F.sort_array(F.collect_set("word")).alias("w"))
-    pick = templates.agg(F.sort_array(F.collect_set("template")).alias("t"))
     spark = templates.sparkSession
-    rows = spark.range(n).crossJoin(F.broadcast(pick)).withColumn("template", F.col("t")[F.pmod(F.xxhash64("id", F.lit(seed)), F.size("t")).cast("int")]).drop("t")
-    lists = vocab.agg(F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("v"))
+    ids = spark.range(n).select("id", F.lit(-1).alias("k"), F.lit("").alias("label"))
+    rows = choose(ids, templates.select(F.lit("").alias("label"), F.col("template").alias("word")), seed).select("id", F.col("word").alias("template"))
+    labels = F.regexp_extract_all("template", F.lit(SLOT.pattern), 1)
+    slots = rows.select("id", F.posexplode(labels).alias("k", "label"))
+    got = choose(slots, words, seed).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "word"))).alias("w"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, t, v in zip(b["id"], b["template"], b["v"], strict=True):
-                v = dict(v)
+            for i, t, w in zip(b["id"], b["template"], b["w"], strict=True):
+                w = dict(w) if w is not None else {}
                 text, spans, at = "", [], 0
                 for k, m in enumerate(SLOT.finditer(t)):
                     text += t[at : m.start()]
-                    options = v.get(m[1], [m[1].lower()])
-                    w = options[(int(i) * 2654435761 + k * 40503 + seed) % len(options)]
-                    spans.append((len(text), len(text) + len(w), m[1]))
-                    text += w
+                    word = w.get(k, m[1].lower())
+                    spans.append((len(text), len(text) + len(word), m[1]))
+                    text += word
                     at = m.end()
                 out.append((i, text + t[at:], spans))
             yield pd.DataFrame(out, columns=["id", "text", "spans"])
 
-    return rows.crossJoin(F.broadcast(lists)).mapInPandas(fill, "id bigint, text string, spans array<struct<start:int,end:int,label:string>>")
+    return rows.join(got, "id", "left").mapInPandas(fill, "id bigint, text string, spans array<struct<start:int,end:int,label:string>>")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -32,11 +33,17 @@ for _v in {v for ws in VERBS.values() for v in ws.split()} | {"include", "show",
     for _f in (_v, _v + "s", _v + "es", _s + "ed", _s + "ing", _v + _v[-1] + "ed", _v + _v[-1] + "ing"):
         VERB_FORMS.setdefault(_f, _v)
 VERB_FORMS |= {"gave": "give", "given": "give", "sold": "sell", "kept": "keep", "held": "hold", "got": "get", "sought": "seek"}
-DATA_RE, ACTOR_RE = (re.compile("|".join(y for _, y, _ in fused_rules(k)).replace("(?i)", ""), re.I) for k in ("DATA", "ACTOR"))
+DATA_RE, ACTOR_RE = (re.compile("|".join(y for _, y, _ in fused_rules(k)).replace("(?:", "(?-i:"), re.I) for k in ("DATA", "ACTOR"))
+
+
+# Plurals that the endings don't tell.
+PLURALS = {"cookies": "cookie", "movies": "movie", "calories": "calorie", "children": "child", "people": "person", "women": "woman", "men": "man", "media": "medium", "series": "series", "species": "species", "addresses": "address", "processes": "process", "businesses": "business", "searches": "search", "purchases": "purchase", "databases": "database"}
 
 
 def lemma(word: str) -> str:
     w = word.lower()
+    if w in PLURALS:
+        return PLURALS[w]
     if w in VERB_FORMS:
         return VERB_FORMS[w]
     if w in ("us", "our"):
@@ -46,6 +53,15 @@ def lemma(word: str) -> str:
     return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith(("ss", "us", "is")) else w
 
 
+@lru_cache(100_000)
+def phrase_type(last: str, phrase: str) -> str:
+    """ACTOR, DATA or NN for a noun phrase without its determiner, by the normal forms of its words or their lemmas."""
+    lemmas = " ".join(map(lemma, phrase.split()))
+    if last in ("we", "us", "you") or ACTOR_RE.search(phrase) or ACTOR_RE.search(lemmas):
+        return "ACTOR"
+    return "DATA" if DATA_RE.search(phrase) or DATA_RE.search(lemmas) else "NN"
+
+
 def parse_sentence(words: list[str]) -> list[tuple]:
     """(i, text, lemma, pos, dep, head, ent_type, ent_iob) of one sentence."""
     n = len(words)
@@ -122,7 +138,7 @@ def parse_sentence(words: list[str]) -> list[tuple]:
     for a, b in chunks:
         phrase = " ".join(words[a : b + 1])
         core_ = " ".join(words[k] for k in range(a, b + 1) if pos[k] not in ("DET", "PRON")) or phrase
-        k2 = "ACTOR" if words[b].lower() in ("we", "us", "you") or ACTOR_RE.search(core_) else "DATA" if DATA_RE.search(core_) else "NN"
+        k2 = phrase_type(words[b].lower(), core_)
         for k in range(a, b + 1):
             ent[k], kind[k] = ("B" if k == a else "I"), k2
     for k in range(n):  # no token may hang below itself

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clauseweave.functions.text import OTHER_SCRIPTS, fold_ascii, tokenizer_fixups
+from clauseweave.operators.graph import closure
 
 # Roles whose content is no text of the page.
 IGNORED = """img, figure, image map, separator, whitespace, form, radio, list item marker, insertion, diagram, dialog, tab, checkbox, menu, menubar, menuitem, parent menuitem, toolbar, tooltip,
@@ -55,7 +56,8 @@ def flatten_trees(pages: DataFrame) -> DataFrame:
 class Page:
     """One tree as arrays in pre-order, with what the walk over it has found so far."""
 
-    def __init__(self, roles: list[str], names: list[str | None], levels: list[int | None], parents: list[int]) -> None:
+    def __init__(self, roles: list[str], names: list[str | None], levels: list[int | None], parents: list[int], strict: bool = True) -> None:
+        self.strict = strict
         self.roles = [r or "" for r in roles]
         self.kind = [ROLE_CLASS.get(r, "unknown") for r in self.roles]
         self.names, self.levels = names, levels
@@ -90,19 +92,33 @@ class Page:
 
     def items(self, lst: int) -> list[list[int]]:
         """Contents of the items of a list; stray children are items of their own, nested items are lifted (SEG-04)."""
-        out = []
-        for c in self.kids[lst]:
-            if self.kind[c] == "item":
+        out, todo = [], list(reversed(self.kids[lst]))
+        while todo:
+            c = todo.pop()
+            if self.kind[c] == "item" or not self.kids[c]:
                 out.append(self.kids[c] or [c])
             else:
-                out += self.items(c) or [[c]]
+                todo += reversed(self.kids[c])
         return out
 
     def walk(self, i: int) -> None:
+        """Visits the tree below ``i``; steps wait on a stack of their own, so depth is no limit."""
+        steps = [self.visit(i)]
+        while steps:
+            below = next(steps[-1], None)
+            if below is None:
+                steps.pop()
+            else:
+                steps.append(below)
+
+    def visit(self, i: int) -> Iterator[Iterator]:
+        """Handles a node and yields the steps for what lies below it."""
         k = self.kind[i]
+        if k == "unknown" and not self.strict:
+            k = "section" if self.kids[i] else "block"
         if k == "section" or k == "item":
             for c in self.kids[i]:
-                self.walk(c)
+                yield self.visit(c)
         elif k == "heading":
             level = self.levels[i] or 1
             while self.open and self.open[-1][1] >= level:
@@ -112,13 +128,13 @@ class Page:
             beside = bool(self.found) and self.found[-1][3] == self.up[i]
             parent = len(self.found) - 1 if beside else self.heading
             for content in self.items(i):
-                self.item(content, parent, i)
+                yield self.item(content, parent, i)
         elif k == "block" and (text := self.words(i)):
             self.add("TEXT", text, self.heading, self.up[i])
         elif k == "unknown":
             raise ValueError(f"unknown role {self.roles[i]!r}")
 
-    def item(self, content: list[int], parent: int | None, home: int) -> None:
+    def item(self, content: list[int], parent: int | None, home: int) -> Iterator[Iterator]:
         """Inline runs of an item become TEXT below one LISTITEM, made when the first text comes (SEG-05)."""
         item, run = None, []
         for c in [*content, None]:
@@ -131,7 +147,7 @@ class Page:
                 self.add("TEXT", text, item, home)
                 run = []
             if c is not None:
-                self.walk(c)
+                yield self.visit(c)
 
 
 BULLET = re.compile(r"^([*>#-])|^(\W*)(\d+)(\W)|^(\W*)([a-z])(\W)|^(\W*)([A-Z])(\W)")
@@ -185,9 +201,12 @@ def typed_lists(found: list[list]) -> list[list]:
     return out
 
 
-def segments_of(roles, names, levels, parents) -> list[list]:
-    """(type, parent, text) of the segments of one tree in order."""
-    page = Page(roles, names, levels, parents)
+def segments_of(roles, names, levels, parents, strict: bool = True) -> list[list]:
+    """(type, parent, text) of the segments of one tree in order.
+
+    A role of no class is an error; if not ``strict``, it is a section if it has children, else a block.
+    """
+    page = Page(roles, names, levels, parents, strict)
     if page.roles:
         page.walk(0)
     return typed_lists([f[:3] for f in page.found])
@@ -198,7 +217,7 @@ def extract_segments(nodes: DataFrame) -> DataFrame:
 
     Text is folded to ASCII and its spelling fixed beforehand, and a leaf in another script is blank,
     all in the JVM; the order-dependent walk runs per page, from partitions sorted by node.
-    Repeated node rows count once. A page with a role of no class has no segments.
+    Repeated node rows count once. A node with a role of no class is a section, or a block if it has no children.
     """
     text = F.when(F.col("name").rlike(OTHER_SCRIPTS), "").otherwise(tokenizer_fixups(fold_ascii(F.col("name"))))
     n = nodes.select("policy_id", "page_id", "node_id", "parent_id", "role", text.alias("name"), "level").repartition("page_id").sortWithinPartitions("page_id", "node_id")
@@ -219,10 +238,7 @@ def extract_segments(nodes: DataFrame) -> DataFrame:
             for page, g in b.drop_duplicates(["page_id", "node_id"]).groupby("page_id", sort=False):
                 at = {int(i): k for k, i in enumerate(g["node_id"])}
                 parents = [at.get(int(p), -1) if pd.notna(p) else -1 for p in g["parent_id"]]
-                try:
-                    found = segments_of(g["role"].tolist(), [x if isinstance(x, str) else None for x in g["name"]], [int(x) if pd.notna(x) else None for x in g["level"]], parents)
-                except ValueError:
-                    continue
+                found = segments_of(g["role"].tolist(), [x if isinstance(x, str) else None for x in g["name"]], [int(x) if pd.notna(x) else None for x in g["level"]], parents, strict=False)
                 out += [(g["policy_id"].iloc[0], page, k, s, p, t) for k, (s, p, t) in enumerate(found)]
             yield pd.DataFrame(out, columns=["policy_id", "page_id", "segment_id", "segment_type", "parent_id", "text"]).astype({"parent_id": "Int32"})
 
@@ -236,21 +252,17 @@ def latest_segments(segments: DataFrame) -> DataFrame:
     return g.select("policy_id", "segment_id", *[F.col(f"r.{c}") for c in rest])
 
 
-def context_chain(segments: DataFrame, most: int = 64) -> DataFrame:
+def context_chain(segments: DataFrame) -> DataFrame:
     """(policy_id, segment_id, ancestor_id, ctx): each segment with itself (ctx 0) and all above it (SEG-09).
 
-    A segment has one parent, so a round follows one link for all segments at once; ``most`` guards
-    against loops in damaged input.
+    Distance doubling over the parent links: a round joins the pairs found so far with themselves, so
+    log(depth) rounds suffice for any depth and each starts from a checkpoint. Segments on a loop of
+    parents reach each other once, at the shortest distance.
     """
-    up = segments.select("policy_id", F.col("segment_id").alias("ancestor_id"), F.col("parent_id").cast("int").alias("above"))
-    level = segments.select("policy_id", "segment_id", F.col("segment_id").alias("ancestor_id"), F.lit(0).alias("ctx"))
-    out = level
-    for k in range(1, most):
-        level = level.join(up, ["policy_id", "ancestor_id"]).where("above is not null").select("policy_id", "segment_id", F.col("above").alias("ancestor_id"), F.lit(k).alias("ctx"))
-        if not level.limit(1).count():
-            break
-        out = out.unionByName(level)
-    return out
+    own = segments.select("policy_id", "segment_id", F.col("segment_id").alias("ancestor_id"), F.lit(0).alias("ctx"))
+    up = segments.where("parent_id is not null").select("policy_id", F.col("segment_id").cast("int").alias("src"), F.col("parent_id").cast("int").alias("dst"))
+    far = closure(up).where("src <> dst").select("policy_id", F.col("src").alias("segment_id"), F.col("dst").alias("ancestor_id"), F.col("dist").cast("int").alias("ctx"))
+    return own.unionByName(far)
 
 
 def context_documents(segments: DataFrame) -> DataFrame:
@@ -281,6 +293,36 @@ def context_documents(segments: DataFrame) -> DataFrame:
     return g.select("policy_id", "segment_id", "ctx", done.alias("d")).select("policy_id", "segment_id", "ctx", F.col("d.w").alias("words"), F.col("d.glue").alias("n_glue"))
 
 
+def annotation_documents(segments: DataFrame) -> DataFrame:
+    """(policy_id, segment_id, words, places, item): for each segment with tokens, except headings that others stand under, its tokens after those of all it stands under.
+
+    The widest contextual document of each segment; list items are documents of their own here, each
+    after what introduces its list, so that a statement over an introduction and an item is one text.
+    places: a word's segment times 2^32 plus its place there, -1 for glue: a line end after a heading, a
+    colon after a list item that ends in a letter or digit. item: the segment itself, if it is a list item.
+    """
+    s = segments.select("policy_id", "segment_id", "segment_type", "tokens").where("policy_id is not null and segment_id is not null")
+    chain = context_chain(segments.where("policy_id is not null and segment_id is not null"))
+    above = segments.where("parent_id is not null").select("policy_id", F.col("parent_id").cast("int").alias("segment_id")).distinct()
+    ends = s.where("size(tokens) > 0").select("policy_id", "segment_id", "segment_type")
+    ends = ends.join(above, ["policy_id", "segment_id"], "left_anti").unionByName(ends.where("segment_type <> 'HEADING'").join(above, ["policy_id", "segment_id"], "left_semi"))
+    anc = s.select("policy_id", F.col("segment_id").alias("ancestor_id"), F.col("segment_type").alias("t"), "tokens")
+    parts = chain.join(ends.select("policy_id", "segment_id", F.col("segment_type").alias("own")), ["policy_id", "segment_id"]).join(anc, ["policy_id", "ancestor_id"])
+    g = parts.groupBy("policy_id", "segment_id", "own").agg(F.sort_array(F.collect_list(F.struct((-F.col("ctx")).alias("o"), "ancestor_id", "t", "tokens"))).alias("p"))
+    empty = F.struct(F.array().cast("array<string>").alias("w"), F.array().cast("array<bigint>").alias("at"), F.lit("").alias("prev"))
+
+    def step(acc, x):
+        has = (F.size(acc["w"]) > 0) & (F.size(x["tokens"]) > 0)
+        colon = has & (acc["prev"] == "LISTITEM") & F.element_at(acc["w"], -1).rlike(r"^[\p{L}\p{N}]+$")
+        glue = F.when(has & (acc["prev"] == "HEADING"), F.array(F.lit("\n"))).when(colon, F.array(F.lit(":"))).otherwise(F.array().cast("array<string>"))
+        places = F.transform(x["tokens"], lambda _, k: x["ancestor_id"].cast("bigint") * (1 << 32) + k)
+        kept = F.when(F.size(x["tokens"]) > 0, x["t"]).otherwise(acc["prev"])
+        return F.struct(F.concat(acc["w"], glue, x["tokens"]).alias("w"), F.concat(acc["at"], F.transform(glue, lambda _: F.lit(-1).cast("bigint")), places).alias("at"), kept.alias("prev"))
+
+    d = g.select("policy_id", "segment_id", "own", F.aggregate("p", empty, step).alias("d"))
+    return d.select("policy_id", "segment_id", F.col("d.w").alias("words"), F.col("d.at").alias("places"), F.when(F.col("own") == "LISTITEM", F.col("segment_id")).alias("item"))
+
+
 def heading_parents(nodes: DataFrame) -> DataFrame:
     """(page_id, node_id, level, parent_node): the last heading before with a smaller level (SEG-02).
 

@@ -11,8 +11,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clauseweave.operators.graph import closure
-from clauseweave.plans.session import cut
 
 SCHEMA = "doc string, sent int, i int, text string, lemma string, pos string, dep string, head int, ent_type string, ent_iob string"
 SENTENCE = ["doc", "sent"]
@@ -26,13 +24,45 @@ def entity_spans(tokens: DataFrame) -> DataFrame:
     return e.groupBy(*SENTENCE, "span").agg(F.first("ent_type").alias("label"), F.min("i").alias("start_i"), F.max("i").alias("end_i"), F.count("*").alias("n")).drop("span")
 
 
+def _sentences(tokens: DataFrame, *columns: str) -> DataFrame:
+    """(doc, sent, t): each sentence as one row, t its tokens (i, columns) in order. One shuffle; a sentence is short."""
+    return tokens.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("i", *columns))).alias("t"))
+
+
+def _upward(t: Column, i: Column, goes_on) -> Column:
+    """Array of the tokens from ``i`` up along the heads, while ``goes_on`` (a token) holds; a loop ends after as many steps as there are tokens."""
+
+    def step(acc: Column, _: Column) -> Column:
+        x = t[F.element_at(acc, -1)]
+        return F.when(goes_on(x) & (x["head"] != x["i"]) & ~F.array_contains(acc, x["head"]), F.concat(acc, F.array(x["head"]))).otherwise(acc)
+
+    return F.aggregate(t, F.array(i), step)
+
+
 def below(tokens: DataFrame) -> DataFrame:
-    """(doc, sent, i, j, dist): j hangs below i in the sentence's tree, dist links deep; each token is below itself at 0 (TOK-10 `>>`)."""
-    key = F.struct(*SENTENCE).alias("k")
-    up = tokens.where("head <> i").select(key, F.col("head").alias("src"), F.col("i").alias("dst"))
-    down = closure(up, "k").where("src <> dst").select("k", F.col("src").alias("i"), F.col("dst").alias("j"), "dist")
-    own = tokens.select(key, "i", F.col("i").alias("j"), F.lit(0).alias("dist"))
-    return down.unionByName(own).select("k.doc", "k.sent", "i", "j", F.col("dist").cast("int").alias("dist"))
+    """(doc, sent, i, j, dist): j hangs below i in the sentence's tree, dist links deep; each token is below itself at 0 (TOK-10 `>>`).
+
+    Tokens are numbered from 0 without gaps. Heads are followed inside each sentence's row: no join, no checkpoint.
+    """
+    s = _sentences(tokens, "head")
+    t = F.col("t")
+    ups = F.transform(t, lambda x: F.struct(x["i"].alias("j"), _upward(t, x["i"], lambda y: F.lit(True)).alias("up")))
+    one = s.select(*SENTENCE, F.explode(ups).alias("r"))
+    return one.select(*SENTENCE, F.col("r.j").alias("j"), F.posexplode("r.up").alias("dist", "i")).select(*SENTENCE, "i", "j", "dist")
+
+
+def conjuncts(tokens: DataFrame) -> DataFrame:
+    """(doc, sent, i, first_i): tokens of a coordination carry its first token (TOK-07, GRA-09).
+
+    Members hang below each other by 'conj', so they have the same last token up that chain.
+    """
+    s = _sentences(tokens, "head", "dep")
+    t = F.col("t")
+    tops = F.transform(t, lambda x: F.struct(x["i"].alias("i"), F.element_at(_upward(t, x["i"], lambda y: y["dep"] == "conj"), -1).alias("top"), (x["dep"] == "conj").alias("member")))
+    r = s.select(*SENTENCE, tops.alias("r"))
+    live = F.filter("r", lambda x: F.exists("r", lambda y: y["member"] & (y["top"] == x["top"])))
+    firsts = F.transform(live, lambda x: F.struct(x["i"].alias("i"), F.array_min(F.transform(F.filter(live, lambda y: y["top"] == x["top"]), lambda y: y["i"])).alias("first_i")))
+    return r.select(*SENTENCE, F.explode(firsts).alias("f")).select(*SENTENCE, "f.i", "f.first_i")
 
 
 def subtree_bounds(tokens: DataFrame) -> DataFrame:
@@ -40,15 +70,6 @@ def subtree_bounds(tokens: DataFrame) -> DataFrame:
     return below(tokens).groupBy(*SENTENCE, "i").agg(F.min("j").alias("left_i"), F.max("j").alias("right_i"), F.count("*").alias("n"))
 
 
-def conjuncts(tokens: DataFrame) -> DataFrame:
-    """(doc, sent, i, first_i): tokens of a coordination carry its first token (TOK-07, GRA-09)."""
-    c = tokens.where("dep = 'conj'").select(*SENTENCE, "i", "head")
-    key = F.struct(*SENTENCE).alias("k")
-    both = c.select(key, F.col("i").alias("src"), F.col("head").alias("dst")).unionByName(c.select(key, F.col("head").alias("src"), F.col("i").alias("dst")))
-    low = closure(both, "k").groupBy("k", F.col("src").alias("i")).agg(F.least(F.min("dst"), F.first("src")).alias("first_i"))
-    return cut(low.select("k.doc", "k.sent", "i", "first_i"))
-
-
 def sentence_text(tokens: DataFrame) -> DataFrame:
     """(doc, sent, text) (TOK-12)."""
     return tokens.groupBy(*SENTENCE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("text"))

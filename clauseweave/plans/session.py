@@ -51,12 +51,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder of this machine is used.
+    Only a local session (tests, a laptop) may leave that unset: then a temporary folder of this
+    machine is used. On a cluster it is an error, as the executors wouldn't share such a folder.
     """
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clauseweave-", dir=os.environ.get("TMPDIR")))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="clauseweave-", dir=os.environ.get("TMPDIR")))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get()
 
@@ -92,6 +96,13 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder for files that go when the application ends."""
+    at = f"{_shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    _forget_at_exit(spark, at)
+    return at
+
+
 def _forget_at_exit(spark: SparkSession, at: str) -> None:
     sc = spark.sparkContext
 

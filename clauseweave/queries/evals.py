@@ -152,14 +152,22 @@ def purpose_phrases(spark, folder):
 
 @q("synthetic_sentences")
 def synthetic_sentences(spark, folder):
-    """PRE-11, PRE-20, PRE-21: filled templates with spans, the same for any partitioning."""
+    """PRE-11: filled templates with spans, the same for any partitioning, from all terms of the graphs."""
     e = table(spark, folder, "kg_edges")
     words = e.select(F.lit("DATA").alias("label"), F.lower(F.trim("target")).alias("word")).unionByName(e.select(F.lit("ACTOR").alias("label"), F.lower(F.trim("source")).alias("word"))).where("word <> ''")
-    top = words.groupBy("label", "word").count().orderBy(F.desc("count"), "word").limit(400)
     t = spark.createDataFrame([("%ACTOR% collects your %DATA%.",), ("We share %DATA% and %DATA% with %ACTOR%.",), ("Your %DATA% is never sold.",)], "template string")
-    return P.fill_slots(t, top.select("label", "word"), 1000)
+    return P.fill_slots(t, words.select("label", "word"), 1000)
 
 
+@q("training_corpus", "SELECT 'synthetic' AS source, 1000::BIGINT AS n UNION ALL SELECT 'rehearsal', count(*) FROM (SELECT DISTINCT text FROM segments WHERE segment_type = 'TEXT' AND text IS NOT NULL AND regexp_matches(trim(text), '[.!?]$')) UNION ALL SELECT 'noise', count(*) FROM (SELECT DISTINCT text FROM documents WHERE trim(text) <> '')")
+def training_corpus(spark, folder):
+    """PRE-13, PRE-20, PRE-21: sentences by source with their counts; rehearsal and noise are shuffled by a hash, each text once."""
+    made = synthetic_sentences(spark, folder).select(F.lit("synthetic").alias("source"), "text", F.xxhash64("id").alias("order"))
+    own = table(spark, folder, "segments").where("segment_type = 'TEXT' and text is not null").where(F.trim("text").rlike("[.!?]$")).select("text").distinct()
+    noise = table(spark, folder, "documents").where("trim(text) <> ''").select("text").distinct()
+    rest = [x.select(F.lit(k).alias("source"), "text", F.xxhash64("text").alias("order")) for k, x in (("rehearsal", own), ("noise", noise))]
+    return made.unionByName(rest[0]).unionByName(rest[1]).groupBy("source").agg(F.count("*").alias("n"))
+
 @q("actor_names", "WITH p AS (SELECT DISTINCT string_split(trim(lower(source)), ' ')[1] AS prefix FROM kg_edges WHERE trim(source) LIKE '% %'), c(cls) AS (VALUES ('provider'), ('partner'), ('network')) SELECT DISTINCT prefix || ' ' || cls AS name FROM p CROSS JOIN c UNION SELECT prefix || ' ' || cls || 's' FROM p CROSS JOIN c")
 def actor_names(spark, folder):
     """PRE-14, JON-06, SET-02: the classes are a constant of three rows."""

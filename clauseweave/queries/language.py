@@ -6,7 +6,9 @@ of ``fixture`` compare the same operators with SQL on ten hand-annotated sentenc
 
 from pyspark.sql import functions as F
 
-from clauseweave.operators import annotate as A, build as B, normalize as N, provider as R, statements as S, tokens as T
+from clauseweave.operators import annotate as A, build as B, graph as G, normalize as N, provider as R, statements as S, tokens as T
+from clauseweave.operators.segments import annotation_documents
+from clauseweave.operators.sentences import annotate_documents
 from clauseweave.plans.registry import CORE
 from clauseweave.plans.session import cut, ship, stash, table
 from clauseweave.queries.fixture_tokens import rows, values
@@ -230,10 +232,42 @@ def parsed_tokens(spark, folder):
     return R.parse(R.english(seg(spark, folder)))
 
 
+def english_segments(spark, folder):
+    """The latest segments that state English or nothing."""
+    return seg(spark, folder).where("lang is null or lower(trim(lang)) like 'en%' or lower(trim(lang)) in ('', 'und', 'unknown')")
+
+
 @q("policy_graph")
 def policy_graph(spark, folder):
-    """BLD-01..19 end to end: segments to tokens to statements to one graph per policy."""
-    return B.build_graph(parsed(spark, folder))
+    """BLD-01..19, NRM-06 end to end: contextual documents of all segments, one annotation pass, one graph per policy."""
+    e = table(spark, folder, "entity_info").where("entity is not null").select("entity", "aliases", "domains", "ngrams")
+    return B.build_from_segments(english_segments(spark, folder), entities=e)
+
+
+@q("policy_graph_trimmed")
+def policy_graph_trimmed(spark, folder):
+    """BLD-18: what the statements of the graphs need."""
+    return G.trim_graph(B.build_from_segments(english_segments(spark, folder)))
+
+
+@q("policy_graph_extended")
+def policy_graph_extended(spark, folder):
+    """BLD-13: all kinds of statements, data of children apart."""
+    return B.build_from_segments(english_segments(spark, folder), "extended")
+
+
+@q("annotated_links")
+def annotated_links(spark, folder):
+    """ANN-01..31, COL-01..17: the links between phrases of all contextual documents, once each."""
+    r = annotate_documents(annotation_documents(english_segments(spark, folder)))
+    return r.where("kind = 'link'").select("policy_id", F.col("a").alias("src"), F.col("b").alias("dst"), "rel").distinct()
+
+
+@q("annotated_without_purposes")
+def annotated_without_purposes(spark, folder):
+    """ANN-29, UDX-01: the same pass with annotators left out."""
+    r = annotate_documents(annotation_documents(english_segments(spark, folder)), ("purpose", "subject", "coreference"))
+    return r.groupBy("kind", "rel").agg(F.count("*").alias("n"))
 
 
 @q("coref_pointer_jump", "WITH RECURSIVE e AS (SELECT left_id AS src, min(right_id) AS dst FROM entity_pairs WHERE is_match AND right_id < left_id GROUP BY left_id), w AS (SELECT src, dst, 1 AS n FROM e UNION ALL SELECT w.src, e.dst, n + 1 FROM w JOIN e ON e.src = w.dst WHERE n < 200) SELECT src, arg_max(dst, n) AS main FROM w GROUP BY src")

@@ -18,8 +18,8 @@ ENTITY = "aliases array<string>, domains array<string>, prevalence double, categ
 
 
 def policy_of_path(path: Column) -> Column:
-    """The folder that holds a file: the key of everything in it (D1, SRC-12)."""
-    return F.element_at(F.split(path, "/"), -2)
+    """The folder that holds a file: the key of everything in it (D1, SRC-12); policy_id=x, as partitioned writers name it, is x."""
+    return F.regexp_replace(F.url_decode(F.element_at(F.split(path, "/"), -2)), "^policy_id=", "")
 
 
 def read_yaml_graphs(spark: SparkSession, glob: str) -> DataFrame:
@@ -86,18 +86,50 @@ def read_graphml_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, Da
 
 def read_entity_info(spark: SparkSession, path: str) -> DataFrame:
     """(entity, aliases, domains, prevalence, categories, ngrams) of a JSON map from entity to record (SRC-06, D15)."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<{ENTITY.replace(' array', ':array').replace(' double', ':double').replace(' map', ':map')}>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).where("value <> ''").select(F.from_json("value", f"map<string,struct<{ENTITY.replace(' array', ':array').replace(' double', ':double').replace(' map', ':map')}>>").alias("m"))
     return raw.select(F.explode("m").alias("entity", "r")).select("entity", "r.*")
 
 
+def write_entity_info(entities: DataFrame, path: str, per_file: int = 1000) -> None:
+    """JSON maps from entity to record, about ``per_file`` entities to a file (SNK-06). Each entity must be there once."""
+    n = max(1, -(-entities.count() // per_file))
+    rest = [c for c in entities.columns if c != "entity"]
+    g = entities.groupBy(F.pmod(F.xxhash64("entity"), F.lit(n)).alias("bucket")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("entity", F.struct(*rest))))).alias("value"))
+    g.repartition(n, "bucket").write.partitionBy("bucket").text(path)
+
+
+def write_graphml_ontology(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """An ontology as one GraphML file (SNK-03); it is some dozen terms, so the driver writes it."""
+    spark = edges.sparkSession
+    ids = {r.node: f"n{i}" for i, r in enumerate(nodes.orderBy("node").collect())}
+    root = ET.Element("graphml")
+    for k, name in (("d0", "label"), ("d1", "is_precise")):
+        ET.SubElement(root, "key", {"id": k, "for": "node", "attr.name": name, "attr.type": "string"})
+    graph = ET.SubElement(root, "graph", {"edgedefault": "directed"})
+    for r in nodes.collect():
+        n = ET.SubElement(graph, "node", {"id": ids[r.node]})
+        ET.SubElement(n, "data", {"key": "d0"}).text = r.node
+        ET.SubElement(n, "data", {"key": "d1"}).text = str(r.is_precise).lower()
+    for r in edges.collect():
+        ET.SubElement(graph, "edge", {"source": ids[r.parent], "target": ids[r.child]})
+    spark.createDataFrame([(ET.tostring(root, encoding="unicode"),)], "value string").coalesce(1).write.text(path)
+
+
+def write_rules(spark: SparkSession, rules: dict, path: str) -> None:
+    """A rule file in YAML."""
+    import yaml
+
+    spark.createDataFrame([(yaml.safe_dump(rules, allow_unicode=True),)], "value string").coalesce(1).write.text(path)
+
+
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
     """Flow records of a CSV file without header (SRC-08, D16)."""
-    return spark.read.schema(FLOWS).option("header", False).csv(path)
+    return spark.read.schema(FLOWS).options(header=False, escape='"').csv(path)
 
 
 def read_table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with header and a declared schema (SRC-07)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -107,6 +139,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_zipped_jsonl(spark: SparkSession, glob: str, suffix: str = ".jsonl") -> DataFrame:
     """(archive, member, line) of the JSON lines inside zip archives (SRC-11)."""
+    return unzip_jsonl(spark.read.format("binaryFile").load(glob).select(F.col("path").alias("archive"), "content"), suffix)
+
+
+def zip_jsonl(lines: DataFrame, member: str = "lines.jsonl") -> DataFrame:
+    """(archive, content): the lines (archive, line) of each archive as a zip file; an archive is one task's memory, so keep archives small."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(member, "\n".join(g["line"]) + "\n")
+        return pd.DataFrame([(key[0], out.getvalue())], columns=["archive", "content"])
+
+    return lines.groupBy("archive").applyInPandas(run, "archive string, content binary")
+
+
+def unzip_jsonl(files: DataFrame, suffix: str = ".jsonl") -> DataFrame:
+    """(archive, member, line) of the JSON lines inside zip files (archive, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -116,7 +165,7 @@ def read_zipped_jsonl(spark: SparkSession, glob: str, suffix: str = ".jsonl") ->
                     out += [(p, n, x.decode("utf-8").rstrip("\r\n")) for n in sorted(z.namelist()) if n.endswith(suffix) for x in z.open(n) if x.strip()]
             yield pd.DataFrame(out, columns=["archive", "member", "line"])
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "archive string, member string, line string")
+    return files.select(F.col("archive").alias("path"), "content").mapInPandas(run, "archive string, member string, line string")
 
 
 def read_sqlite(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
@@ -148,9 +197,9 @@ def write_partitioned(df: DataFrame, path: str, key: str = "policy_id", files: i
     df.repartition(files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header (SNK-04, SNK-05)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
+    """CSV (SNK-04, SNK-05); quotes are doubled, spaces and line ends kept."""
+    df.write.mode("overwrite").options(header=header, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
