@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LANGS = ["en", "de", "fr", "es", "it", "nl", "pt", "pl", "ru", "other"]
 OTHER = LANGS.index("other")
@@ -259,15 +259,15 @@ def vote(words: list[str]) -> int | None:
     return v.index(first) if first >= 1.5 and first >= 1.5 * second + 0.2 else None
 
 
-def train(sample: pd.DataFrame, per_language: int = 2_500) -> Field:
-    """A field from (text, lang) rows; at most ``per_language`` distinct sentences of each language.
+PER_LANGUAGE = 2_500  # distinct sentences of each language on which the field is fitted, at most
 
-    The function words themselves are always part of the training, so a language that the sample
-    lacks keeps its lexicon. Sequences join one to three sentences, often of different languages;
-    a third lose their accents, as such texts occur.
+
+def labelled_sentences(sample: pd.DataFrame) -> pd.DataFrame:
+    """(label, words) of the distinct sentences of (text, lang) rows whose function words clearly lead.
+
+    Where the record states another language, half of them, by a hash, are left out.
     """
-    rng = np.random.default_rng(0)
-    by: dict[int, dict[str, list[str]]] = defaultdict(dict)
+    out: dict[str, int] = {}
     seen: set[str] = set()
     for text, lang in zip(sample["text"], sample["lang"], strict=True):
         if not isinstance(text, str):
@@ -281,11 +281,35 @@ def train(sample: pd.DataFrame, per_language: int = 2_500) -> Field:
             k = vote(w)
             if k is None or len([x for x in w if x.isalpha()]) < 5:
                 continue
-            if own is not None and own in LANGS and LANGS[k] != own and rng.random() < 0.5:
+            if own is not None and own in LANGS and LANGS[k] != own and zlib.crc32(s.encode()) & 1:
                 continue
-            if len(by[k]) < per_language:
-                by[k].setdefault(" ".join(w), w)
-    pool = [(k, w) for k in by for w in by[k].values()]
+            out.setdefault(" ".join(w), k)
+    return pd.DataFrame({"label": list(out.values()), "words": list(out)})
+
+
+def sampled_sentences(df: DataFrame) -> pd.DataFrame:
+    """``labelled_sentences`` of a sample of (text, lang) rows, found in the tasks; ``PER_LANGUAGE`` of each language, by a hash, come to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield labelled_sentences(b).astype({"label": "int32"})
+
+    s = df.select("text", "lang").mapInPandas(run, "label int, words string").distinct()
+    w = Window.partitionBy("label").orderBy(F.xxhash64("words"), "words")
+    return s.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PER_LANGUAGE).drop("_n").toPandas()
+
+
+def train(sample: pd.DataFrame) -> Field:
+    """A field from (text, lang) rows, or from ``labelled_sentences``; at most ``PER_LANGUAGE`` of each language.
+
+    The function words themselves are always part of the training, so a language that the sample
+    lacks keeps its lexicon. Sequences join one to three sentences, often of different languages;
+    a third lose their accents, as such texts occur.
+    """
+    rng = np.random.default_rng(0)
+    known = sample if "label" in sample.columns else labelled_sentences(sample)
+    known = known.drop_duplicates("words").sort_values(["label", "words"]).groupby("label").head(PER_LANGUAGE)
+    pool = [(int(k), w.split(" ")) for k, w in zip(known["label"], known["words"], strict=True)]
     for lang, ws in [*FUNCTION_WORDS.items(), *OTHER_WORDS.items()]:
         k, lex = LANGS.index(lang) if lang in LANGS else OTHER, ws.split()
         for _ in range(60):

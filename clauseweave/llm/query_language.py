@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from clauseweave.llm.encoding import garbled_ids
-from clauseweave.llm.language import label_parts, stated, train
+from clauseweave.llm.language import label_parts, sampled_sentences, stated, train
 from clauseweave.llm.queries import LLM
 from clauseweave.llm.site_tree import judge_pages
 from clauseweave.plans.session import cut, stash, table
 
 SAMPLE_ROWS = 4_000  # rows of each table from which the field is trained
+SAMPLE_TASKS = 12  # tasks that label them
 
 
 def latest(df, key, by):
@@ -30,16 +31,16 @@ def texts(spark, folder):
 
 
 def sample_of(df):
-    return df.where("length(text) > 30").select("text", "lang").orderBy(F.xxhash64("record_id", "text")).limit(SAMPLE_ROWS).toPandas()
+    """``SAMPLE_ROWS`` rows by a hash: of the id and the length."""
+    return df.where("length(text) > 30").select("text", "lang").orderBy(F.xxhash64("record_id", F.length("text"))).limit(SAMPLE_ROWS)
 
 
 def parts(spark, folder):
     """(record_type, record_id, lang stated, and the columns of label_parts) of all records."""
-    import pandas as pd
-
     docs, seg, page, page_lang = texts(spark, folder)
     page = stash(page)
-    field = train(pd.concat([sample_of(docs), sample_of(seg), sample_of(page.withColumn("lang", F.lit(None).cast("string")))]))
+    rows = sample_of(docs).unionByName(sample_of(seg)).unionByName(sample_of(page.withColumn("lang", F.lit(None).cast("string"))))
+    field = train(sampled_sentences(rows.repartition(SAMPLE_TASKS)))
     key = ["record_type", "record_id"]
     out = [label_parts(x.withColumn("record_type", F.lit(t)), field, key, closed=t != "segment") for x, t in ((docs, "doc"), (seg, "segment"), (page, "page"))]
     own = [x.select(F.lit(t).alias("record_type"), "record_id", stated(F.col("lang")).alias("stated")) for x, t in ((docs, "doc"), (seg, "segment"), (page_lang, "page"))]
