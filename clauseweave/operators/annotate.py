@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from clauseweave.operators import tokens as T
 
-# The wider (u) and the narrower (l) phrase in the ways in which policies list examples.
+# The wider (u) and the narrower (l) phrase in the ways in which policies list examples.
 SUBSUM_PATTERNS = {
     "such_as": "a[lemma=as dep=prep], a ; s[lemma=such], a < u[noun], a > l[noun dep=pobj]",
     "including": "a[lemma=include|like dep=prep], a < u[noun], a > l[noun dep=pobj]",
@@ -23,6 +23,7 @@ SUBSUM_PATTERNS = {
     "collectively": "u[noun dep=appos], u > c[lemma=collectively|hereinafter dep=advmod], u < l[noun]",
     "some_of": "o[text=of pos=ADP], o < l[lemma=some|all|any|type|kind|variety|category|example pos=NOUN|PRON], o > u[noun]",
 }
+# What a verb acts for, and words that tell of children.
 PURPOSE_PATTERNS = {
     "to_verb": "v[dep=xcomp|advcl pos=VERB], v > t[lemma=to], v < r[pos=VERB]",
     "in_order_to": "o[lemma=order], o > v[dep=acl pos=VERB], v > t[lemma=to], o < p[lemma=in], p < r[pos=VERB]",
@@ -46,13 +47,14 @@ def _span_types(tokens: DataFrame) -> DataFrame:
 
 
 class Subsumption:
-    """Hypernymy by the twelve patterns; an enumeration's later members follow its first (ANN-01..15, ANN-28, ANN-30)."""
+    """Hypernymy by the twelve patterns; an enumeration's later members follow its first, and a pronoun is never the wider phrase (ANN-01..15, ANN-28, ANN-30)."""
 
     def transform(self, tokens: DataFrame) -> DataFrame:
         found = None
         for name, p in SUBSUM_PATTERNS.items():
             m = T.match_pattern(tokens, p).select(*T.SENTENCE, F.col("u").alias("src"), F.col("l").alias("dst"), F.lit(name).alias("pattern"))
             found = m if found is None else found.unionByName(m)
+        found = found.join(tokens.where("pos = 'PRON'").select(*T.SENTENCE, F.col("i").alias("src")), [*T.SENTENCE, "src"], "left_anti")
         chain = T.conjuncts(tokens)
         more = found.join(chain.select(*T.SENTENCE, F.col("i").alias("dst"), "first_i"), [*T.SENTENCE, "dst"]).where("dst = first_i")
         more = more.join(chain.select(*T.SENTENCE, "first_i", F.col("i").alias("other")), [*T.SENTENCE, "first_i"]).where("other <> dst").select(*T.SENTENCE, "src", F.col("other").alias("dst"), "pattern")

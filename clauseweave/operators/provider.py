@@ -154,8 +154,8 @@ def parse_sentence(words: list[str]) -> list[tuple]:
 
 
 def english(segments: DataFrame) -> DataFrame:
-    """(doc, tokens) of the TEXT segments that state English or nothing."""
-    s = segments.where("segment_type = 'TEXT' and size(tokens) > 0 and (lang is null or lower(trim(lang)) like 'en%' or trim(lang) in ('', 'und', 'unknown'))")
+    """(doc, tokens) of the segments that state English or nothing."""
+    s = segments.where("size(tokens) > 0 and (lang is null or lower(trim(lang)) like 'en%' or trim(lang) in ('', 'und', 'unknown'))")
     return s.select(F.concat_ws("#", "policy_id", F.format_string("%06d", F.col("segment_id").cast("int"))).alias("doc"), "tokens")
 
 

@@ -125,6 +125,8 @@ def subsumption(s: Sentence) -> list[tuple[int, int, str]]:
     for name, p in A.SUBSUM_PATTERNS.items():
         for m in find(s, p):
             u, low = m["u"], m["l"]
+            if s.pos[u] == "PRON":
+                continue
             for x in [low, *(s.others(low) if s.chains.get(low) == low else [])]:
                 a, b = s.kind(u), s.kind(x)
                 if u != x and (a == b or a in ("", "NN") or b in ("", "NN")):

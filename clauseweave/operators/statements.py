@@ -28,6 +28,7 @@ VERBS = {
     "ALLOW": "enable allow permit authorize",
     "HAVE": "have aim intend need seek continue",
 }
+# The statement rules.
 RULES = """
 share with: SHARE; subj=A, !obj=D, with obj=B; SHARE A D B
 collect from: COLLECT; subj=A, !obj=D, from obj=B; COLLECT A D B

@@ -104,7 +104,7 @@ def test_graph_over_a_list(spark):
     w = lambda s: s.split()
     segs = [
         ("p", 0, "HEADING", None, w("What we collect")), ("p", 1, "TEXT", 0, w("We collect the following data :")), ("p", 2, "LISTITEM", 1, w("email address")), ("p", 3, "LISTITEM", 1, w("phone number")),
-        ("p", 4, "TEXT", 0, w("We share cookies with advertisers to measure ads .")), ("q", 0, "TEXT", None, w("We collect personal information such as email address . We share this information with partners .")), ("q", 1, "TEXT", None, []), (None, 2, "TEXT", None, w("lost")),
+        ("p", 4, "TEXT", 0, w("We share cookies with advertisers to show ads .")), ("q", 0, "TEXT", None, w("We collect personal information such as email address . We share this information with partners .")), ("q", 1, "TEXT", None, []), (None, 2, "TEXT", None, w("lost")),
     ]
     df = spark.createDataFrame(segs, SEG)
     docs = {(r.policy_id, r.segment_id): r for r in SG.annotation_documents(df).collect()}
