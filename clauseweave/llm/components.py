@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from clauseweave.plans.session import cut
 
 MAX_ROUNDS = 200
+EXPANDED_AT_ONCE = 4  # mappings joined in one plan, so that plans stay small however many rounds there are
 
 
 def contract(links: DataFrame, seed: int = 0) -> DataFrame:
@@ -40,9 +41,10 @@ def contract(links: DataFrame, seed: int = 0) -> DataFrame:
     if not maps:
         return links.sparkSession.createDataFrame([], f"id {kind.simpleString()}, group_id {kind.simpleString()}")
     label = maps[-1]
-    for m in reversed(maps[:-1]):
+    for k, m in enumerate(reversed(maps[:-1]), 1):
         up = label.select(F.col("v").alias("rep"), F.col("rep").alias("top"))
         label = m.join(up, "rep", "left").select("v", F.coalesce("top", "rep").alias("rep"))
+        label = label if k % EXPANDED_AT_ONCE else cut(label)
     label = cut(label)
     low = label.groupBy("rep").agg(F.min("v").alias("group_id"))
     return label.join(low, "rep").select(F.col("v").alias("id"), "group_id")
