@@ -17,6 +17,11 @@ def clean_term(c: Column) -> Column:
     return F.when(t != "", t)
 
 
+def _tidy(df: DataFrame) -> DataFrame:
+    """A union over as many partitions as a shuffle has, as unions of unions would double them each round."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def resolve_hierarchy(edges: DataFrame, group: Sequence[str], parent: str = "parent", child: str = "child") -> DataFrame:
     """Root, depth and path of each node of the forests in ``edges``.
 
@@ -47,7 +52,7 @@ def resolve_hierarchy(edges: DataFrame, group: Sequence[str], parent: str = "par
         other = state.select(*g, F.col("_n").alias("_a"), F.col("_a").alias("_a2"), F.col("_d").alias("_d2"), F.col("_done").alias("_done2"))
         todo = state.where(~F.col("_done")).join(other, [*g, "_a"], "left")
         step = todo.select(*g, "_n", F.coalesce("_a2", "_a").alias("_a"), (F.col("_d") + F.coalesce("_d2", F.lit(0))).alias("_d"), F.coalesce("_done2", F.lit(False)).alias("_done"), "_up")
-        state = cut(state.where("_done").unionByName(step))
+        state = cut(_tidy(state.where("_done").unionByName(step)))
         jumps += 1
         if not state.where(~F.col("_done")).limit(1).count():
             break
@@ -62,7 +67,7 @@ def resolve_hierarchy(edges: DataFrame, group: Sequence[str], parent: str = "par
         todo = seg.where(short).withColumn("_top", F.element_at("_path", 1)).join(other, [*g, "_top"])
         joined = F.concat(F.slice("_path2", F.lit(1), F.size("_path2") - 1), F.col("_path"))
         step = todo.select(*g, "_n", joined.alias("_path"), "_root", "_d")
-        seg = cut(seg.where(~short).unionByName(step))
+        seg = cut(_tidy(seg.where(~short).unionByName(step)))
     good = seg.select(*g, F.col("_n").alias("node"), F.col("_root").alias("root"), F.col("_d").cast("int").alias("depth"), F.col("_path").alias("path_nodes"))
     bad = state.where(~F.col("_done")).select(*g, F.col("_n").alias("node"), F.lit("").alias("root"), F.lit(-1).alias("depth"), F.array().cast("array<string>").alias("path_nodes"))
     out = good.unionByName(bad)
