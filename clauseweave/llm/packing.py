@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from clauseweave.plans.session import stash
 
@@ -137,26 +137,25 @@ def pack(sized: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
             used[b] += k * m
         base += k
     table = {b: tuple(np.array(x, np.int64) for x in zip(*sorted(rows), strict=True)) for b, rows in slots.items()}
-    salts = int(np.clip(n.sum() // ROWS_PER_SALT, 16, 1024))
+    salts = max(16, int(n.sum() // ROWS_PER_SALT))
     lookup = spark.createDataFrame(pd.DataFrame({"tokens": sizes, "bucket": own.astype(np.int32)}))
     items = items.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int")).join(F.broadcast(lookup), "tokens")
-    sub = items.groupBy("bucket", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["bucket", "salt"])
-    sub["offset"] = sub.groupby("bucket")["n"].cumsum() - sub["n"]
-    offsets = {(int(b), int(s)): int(o) for b, s, o in zip(sub["bucket"], sub["salt"], sub["offset"], strict=True)}
-    shared = spark.sparkContext.broadcast((table, offsets))
+    before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # one row for each salt of a bucket
+    sub = items.groupBy("bucket", "salt").agg(F.count("*").alias("n")).select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    shared = spark.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table_, offsets_ = shared.value
+        table_ = shared.value
         seen: dict[tuple[int, int], int] = defaultdict(int)
         for df in batches:
             out = np.empty(len(df), np.int64)
             for (b, s), at in df.groupby(["bucket", "salt"]).indices.items():
-                rank = offsets_[b, s] + seen[b, s] + np.arange(len(at))
+                rank = int(df["offset"].iloc[at[0]]) + seen[b, s] + np.arange(len(at))
                 seen[b, s] += len(at)
                 start, first, per = table_[b]
                 j = np.searchsorted(start, rank, side="right") - 1
                 out[at] = first[j] + (rank - start[j]) // per[j]
             yield pd.DataFrame({"container_id": out, "id": df["id"], "piece": df["piece"], "first_token": df["first_token"], "tokens": df["tokens"]})
 
-    rows = items.repartition("salt").sortWithinPartitions("salt", "id", "piece")
+    rows = items.join(sub, ["bucket", "salt"]).repartition("salt").sortWithinPartitions("salt", "id", "piece")
     return rows.mapInPandas(place, f"container_id bigint, id {kind}, piece int, first_token bigint, tokens bigint")
