@@ -463,3 +463,19 @@ def annotate_tokens(tokens: DataFrame, disable: tuple[str, ...] = ()) -> DataFra
         return pd.DataFrame(out, columns=names).astype({"a": "Int64", "b": "Int64", "s_from": "Int64", "s_to": "Int64"})
 
     return tokens.groupBy("doc").applyInPandas(run, ROWS)
+
+
+def noun_phrase_rows(docs: DataFrame) -> DataFrame:
+    """(doc, sent, head, first, last, phrase) of the noun phrases of documents (doc, tokens) (TOK-02). Map-side only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, words in zip(b["doc"], b["tokens"], strict=True):
+                words = list(words)
+                for k, span in enumerate(split(words)):
+                    s = Sentence(parse_sentence([words[x] for x in span]))
+                    out += [(d, k, h, lo, hi, " ".join(s.text[lo : hi + 1])) for h, lo, hi in noun_phrases(s)]
+            yield pd.DataFrame(out, columns=["doc", "sent", "head", "first", "last", "phrase"])
+
+    return docs.mapInPandas(run, "doc string, sent int, head int, first int, last int, phrase string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clauseweave.operators import annotate as A, build as B, graph as G, normalize as N, provider as R, statements as S, tokens as T
 from clauseweave.operators.segments import annotation_documents
-from clauseweave.operators.sentences import annotate_documents
+from clauseweave.operators.sentences import annotate_documents, noun_phrase_rows
 from clauseweave.plans.registry import CORE
 from clauseweave.plans.session import cut, ship, stash, table
 from clauseweave.queries.fixture_tokens import rows, values
@@ -256,6 +256,12 @@ def policy_graph_extended(spark, folder):
     return B.build_from_segments(english_segments(spark, folder), "extended")
 
 
+@q("noun_phrases")
+def noun_phrases(spark, folder):
+    """TOK-02: the noun phrases that part each sentence of all segments."""
+    return noun_phrase_rows(R.english(seg(spark, folder)))
+
+
 @q("annotated_links")
 def annotated_links(spark, folder):
     """ANN-01..31, COL-01..17: the links between phrases of all contextual documents, once each."""

@@ -136,3 +136,18 @@ def test_shortest_paths(spark):
     e = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "a", "d"), ("p", "d", "c"), ("p", "c", "a"), ("p", "a", "a"), (None, "a", "b")], "policy_id string, src string, dst string")
     got = {(r.node, r.top): (r.dist, r.path) for r in G.shortest_paths(e).collect()}
     assert got["c", "a"] == (2, "c < b < a") and got["a", "c"] == (1, "a < c") and got["b", "d"] == (3, "b < a < c < d")
+
+
+def test_noun_phrases_part_the_sentences(spark, data):
+    """Phrases of a sentence don't overlap, hold their head, and no noun outside a compound is left out."""
+    from clauseweave.queries import CORE
+
+    p = CORE.queries["noun_phrases"](spark, data).toPandas()
+    t = CORE.queries["parsed_tokens"](spark, data).toPandas()
+    assert ((p["first"] <= p["head"]) & (p["head"] <= p["last"])).all()
+    q = p.sort_values(["doc", "sent", "first"])
+    again = (q["doc"] == q["doc"].shift()) & (q["sent"] == q["sent"].shift())
+    assert (q["first"] > q["last"].shift())[again].all()
+    covered = {(d, s, i) for d, s, a, b in zip(p["doc"], p["sent"], p["first"], p["last"]) for i in range(a, b + 1)}
+    nouns = t[t.pos.isin(["NOUN", "PROPN"]) & ~t.dep.isin(["compound", "poss"])]
+    assert {(r.doc, r.sent, r.i) for r in nouns.itertuples()} <= covered
