@@ -58,7 +58,7 @@ def _shared_folder(spark: SparkSession) -> str:
     at = sc._jsc.sc().getCheckpointDir()
     if at.isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="clauseweave-", dir=os.environ.get("TMPDIR")))
         at = sc._jsc.sc().getCheckpointDir()
