@@ -306,6 +306,14 @@ def parse_names(records: DataFrame) -> DataFrame:
     return records.where("entity_id is not null and trim(name) <> ''").select("entity_id", "name").distinct().mapInPandas(run, PARSED).distinct()
 
 
+def spread_out(df: DataFrame, column: str) -> DataFrame:
+    """``df`` over all shuffle partitions: few small rows that make much work must not be merged into one task.
+
+    By a hash of the column, as a partitioning by the column itself may be there already and would be merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(column))
+
+
 def near_forms(forms: DataFrame, most: int = 64) -> DataFrame:
     """(a, b) of the distinct forms that are alike, a < b, by the symmetric-delete index.
 
@@ -321,7 +329,7 @@ def near_forms(forms: DataFrame, most: int = 64) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(f, x) for f, k in zip(b["form"], b["key"], strict=True) for x in refined(f, k)], columns=["form", "key"])
 
-    keyed = cut(forms.select("form").mapInPandas(index, "form string, key string").distinct())
+    keyed = cut(spread_out(forms.select("form"), "form").mapInPandas(index, "form string, key string").distinct())
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = keyed.join(sizes, "key")
     fine = live.where(F.col("n") > most).select("form", "key").mapInPandas(refine, "form string, key string").distinct()
