@@ -18,7 +18,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from clauseweave.plans.session import cut
+from clauseweave.plans.session import cut, stash
 
 # Codecs that commonly write or misread text.
 MISREAD_AS = ["cp1252", "latin-1", "iso8859-15", "cp1250", "cp1251", "iso8859-2", "cp437", "cp850", "cp852", "mac_roman", "koi8-r", "cp866"]
@@ -282,7 +282,11 @@ def damaged_words(df: DataFrame, text: str = "text", ratio: float = 4.0) -> Data
     bounds, is collected and sent to the tasks. A word with ? between letters counts as damaged only
     if a known word with a non-ASCII character at that place fits it.
     """
-    counts = cut(word_counts(df, text))
+    return damaged_among(cut(word_counts(df, text)), ratio)
+
+
+def damaged_among(counts: DataFrame, ratio: float = 4.0) -> DataFrame:
+    """``damaged_words`` of a corpus with these ``word_counts``."""
     freq = cut(counts.groupBy(F.lower("core").alias("core")).agg(F.sum("freq").alias("freq")))
     odd = counts.where(F.col("core").rlike(SUSPECT))
     asked = counts.where(F.col("core").rlike(ASKED) & ~F.col("core").rlike(SUSPECT))
@@ -309,8 +313,8 @@ def damaged_words(df: DataFrame, text: str = "text", ratio: float = 4.0) -> Data
 
 def garbled_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The ``key`` of each text with at least one damaged character. Null and empty texts have none."""
-    bad = cut(damaged_words(df.select(key, text), text))
-    have = df.select(key, F.explode(_odd_words(text)).alias("core"))
+    have = stash(df.select(key, F.explode(_odd_words(text)).alias("core")).where("core <> ''"))
+    bad = cut(damaged_among(cut(have.groupBy("core").agg(F.count("*").alias("freq")))))
     return have.join(bad.select("core"), "core", "left_semi").select(key).distinct()
 
 

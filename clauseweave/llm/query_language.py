@@ -31,14 +31,26 @@ def texts(spark, folder):
 
 
 def sample_of(df):
-    """``SAMPLE_ROWS`` rows by a hash: of the id and the length."""
-    return df.where("length(text) > 30").select("text", "lang").orderBy(F.xxhash64("record_id", F.length("text"))).limit(SAMPLE_ROWS)
+    """``SAMPLE_ROWS`` rows by a hash: of the id and the length.
+
+    Rows are counted by the first byte of the hash before, so that only texts up to the byte that
+    completes the sample are sorted.
+    """
+    h = F.xxhash64("record_id", F.length("text"))
+    rows = df.where("length(text) > 30").select("text", "lang", h.alias("h"))
+    n, last = 0, 127
+    for r in sorted(rows.groupBy(F.shiftright("h", 56).alias("byte")).count().collect()):
+        n += r["count"]
+        if n >= SAMPLE_ROWS:
+            last = r["byte"]
+            break
+    return rows.where(F.shiftright("h", 56) <= last).orderBy("h").limit(SAMPLE_ROWS).select("text", "lang")
 
 
 def parts(spark, folder):
     """(record_type, record_id, lang stated, and the columns of label_parts) of all records."""
     docs, seg, page, page_lang = texts(spark, folder)
-    page = stash(page)
+    seg, page = stash(seg), stash(page)
     rows = sample_of(docs).unionByName(sample_of(seg)).unionByName(sample_of(page.withColumn("lang", F.lit(None).cast("string"))))
     field = train(sampled_sentences(rows.repartition(SAMPLE_TASKS)))
     key = ["record_type", "record_id"]
