@@ -18,16 +18,23 @@ def latest(df, key, by):
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.coalesce(by, F.lit("1900-01-01").cast("timestamp"))).alias("_r")).select(key, *[F.col(f"_r.{c}") for c in rest])
 
 
+def sample_hash(key):
+    return F.xxhash64(key, F.length("text"))
+
+
 def texts(spark, folder):
-    """(documents, segments, page leaves) as (record_id, lang, text)."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    docs = docs.join(cut(garbled_ids(docs.select("doc_id", "text"))), "doc_id", "left_anti").select(F.col("doc_id").alias("record_id"), "lang", "text")
+    """(documents, segments, page leaves) as (record_id, lang, text), the pages' languages and the ids of garbled documents.
+
+    The documents still hold the garbled ones. They also have their ``sample_hash`` h: taken before
+    any join, it is counted without their texts.
+    """
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("record_id"), "lang", "text", sample_hash("doc_id").alias("h"))
+    bad = cut(garbled_ids(docs.select("record_id", "text"), "record_id"))
     seg = table(spark, folder, "segments").where("segment_type = 'TEXT' and size(tokens) >= 8").select("seg_uid", "lang", F.concat_ws(" ", "tokens").alias("text"), "loaded_at")
     seg = latest(seg, "seg_uid", "loaded_at").select(F.col("seg_uid").alias("record_id"), "lang", "text")
-    page = judge_pages(table(spark, folder, "a11y_nodes"), residue_of="main").where("not noise and not residue and not heading and role not in ('heading', 'cell')")
-    page = page.select(F.col("page_id").alias("record_id"), F.col("name").alias("text"))
+    page = judge_pages(table(spark, folder, "a11y_nodes"), prose=True).select(F.col("page_id").alias("record_id"), F.col("name").alias("text"))
     lang = latest(table(spark, folder, "a11y_tree").select("page_id", "lang", "loaded_at"), "page_id", "loaded_at")
-    return docs, seg, page, lang.select(F.col("page_id").alias("record_id"), "lang")
+    return docs, seg, page, lang.select(F.col("page_id").alias("record_id"), "lang"), bad
 
 
 def sample_of(df):
@@ -36,7 +43,7 @@ def sample_of(df):
     Rows are counted by the first byte of the hash before, so that only texts up to the byte that
     completes the sample are sorted.
     """
-    h = F.xxhash64("record_id", F.length("text"))
+    h = F.col("h") if "h" in df.columns else sample_hash("record_id")
     rows = df.where("length(text) > 30").select("text", "lang", h.alias("h"))
     n, last = 0, 127
     for r in sorted(rows.groupBy(F.shiftright("h", 56).alias("byte")).count().collect()):
@@ -48,13 +55,17 @@ def sample_of(df):
 
 
 def parts(spark, folder):
-    """(record_type, record_id, lang stated, and the columns of label_parts) of all records."""
-    docs, seg, page, page_lang = texts(spark, folder)
+    """(record_type, record_id, lang stated, and the columns of label_parts) of all records.
+
+    Garbled documents are dropped from the parts, which are smaller than the texts; none of them trains the field.
+    """
+    docs, seg, page, page_lang, bad = texts(spark, folder)
     seg, page = stash(seg), stash(page)
-    rows = sample_of(docs).unionByName(sample_of(seg)).unionByName(sample_of(page.withColumn("lang", F.lit(None).cast("string"))))
+    rows = sample_of(docs.join(bad, "record_id", "left_anti")).unionByName(sample_of(seg)).unionByName(sample_of(page.withColumn("lang", F.lit(None).cast("string"))))
     field = train(sampled_sentences(rows.repartition(SAMPLE_TASKS)))
     key = ["record_type", "record_id"]
     out = [label_parts(x.withColumn("record_type", F.lit(t)), field, key, closed=t != "segment") for x, t in ((docs, "doc"), (seg, "segment"), (page, "page"))]
+    out[0] = out[0].join(bad, "record_id", "left_anti").select(out[0].columns)
     own = [x.select(F.lit(t).alias("record_type"), "record_id", stated(F.col("lang")).alias("stated")) for x, t in ((docs, "doc"), (seg, "segment"), (page_lang, "page"))]
     return out, own
 

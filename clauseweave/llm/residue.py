@@ -158,7 +158,6 @@ INNER = re.compile(r"=?[\w.!/ \-]*")
 SPACE = re.compile(r"\s+")
 VARIABLE = re.compile(r"[\w-]+(?:\.[\w-]+)+(?::\d+)*|/[\w/.-]+|'[^']{1,40}'|\b(?=\w*\d)[\w-]+\b|\S*(?:exception|view)\b")
 WORD = re.compile(r"[^\W\d_]+")
-QUOTES = str.maketrans({"’": "'", "‘": "'"})
 
 
 @cache
@@ -302,7 +301,7 @@ def kind_of(text: str | None, least: float = COVERAGE) -> str | None:
     """'slot', 'dummy', 'message' or None for a text; null and empty texts are None."""
     if not text:
         return None
-    words = text.translate(QUOTES).lower().split()
+    words = text.replace("’", "'").replace("‘", "'").lower().split()
     t = f" {' '.join(words)} "
     hits = list(automaton().iter(t))
     if hits:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -252,10 +253,23 @@ def style_tree(leaves: DataFrame) -> DataFrame:
     return tree_rows(leaves, importances(leaves)).mapInPandas(run, TREE_SCHEMA)
 
 
+class Controls(dict):
+    """Text -> is it the wording of a page control; filled as texts come."""
+
+    def __missing__(self, text: str) -> bool:
+        if len(self) > 100_000:
+            self.clear()
+        c = self[text] = bool(CONTROLS.match(normal(text)))
+        return c
+
+
+IS_CONTROL = Controls()
+
+
 def decided(df: pd.DataFrame) -> pd.DataFrame:
     """Leaves of whole pages with skip (a contents list or a control), composite and low (their branch is removed)."""
     text, first = pd.factorize(df["name"])
-    short = np.fromiter((len(t) <= 120 and bool(CONTROLS.match(normal(t))) for t in first), bool, len(first))
+    short = np.fromiter((len(t) <= 120 and IS_CONTROL[t] for t in first), bool, len(first))
     skip = df["toc"].to_numpy(bool) | (short[text] & ~df["heading"].to_numpy(bool))
     group = pd.factorize((pd.factorize(df["page_id"])[0].astype(np.int64) << 33) + df["branch"].to_numpy())[0]
     size = np.maximum(1, df["size"].to_numpy())
@@ -288,7 +302,7 @@ class Sparse:
         text = [normal(x) for x in names]
         words = [WORDS.findall(t) for t in text]
         count = np.fromiter(map(len, words), np.int64, n)
-        flat = np.fromiter((HASHES[w] for q in words for w in q), np.uint64, int(count.sum()))
+        flat = np.fromiter(map(HASHES.__getitem__, chain.from_iterable(words)), np.uint64, int(count.sum()))
         owner = np.repeat(np.arange(n), count)
         inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
         pairs = (flat[inner] * np.uint64(1000003)) ^ (flat[inner + 1] >> np.uint64(3))
@@ -365,13 +379,14 @@ def fit_model(sample: pd.DataFrame, rounds: int = 3) -> np.ndarray | None:
     return w
 
 
-def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000, residue_of: str = "all") -> DataFrame:
+def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000, residue_of: str = "all", prose: bool = False) -> DataFrame:
     """(page_id, node_id, role, heading, name, importance, noise, residue, decided_by) of each leaf.
 
     importance: 0 to 1, high for the page's own text; noise: it is a contents-list entry or a page
     control ('control'), the tree of its host removes its branch ('tree'), or, in a branch that the
     tree leaves in, its own and its branch's score by the text model together are low ('model');
     residue: it is what ``kind_of`` calls residue, asked of ``residue_of`` 'all', 'noise' or 'main' leaves.
+    With ``prose`` only main leaves come that are neither headings, cells nor residue.
 
     ``fit_leaves`` bounds the leaves on which the text model is fitted (whole pages, chosen by a
     hash of page_id); the style tree and the judgement cover all pages. Null sites are one host,
@@ -408,11 +423,14 @@ def judge_pages(nodes: DataFrame, fit_leaves: int = 60_000, residue_of: str = "a
             noise = low | (z < 0) | skip
             if len(kinds) > 200_000:
                 kinds.clear()
-            asked = noise if residue_of == "noise" else ~noise if residue_of == "main" else np.ones(len(df), bool)
             names = df["name"].to_numpy(object)
+            asked = noise if residue_of == "noise" else ~noise if residue_of == "main" else np.ones(len(df), bool)
+            if prose:
+                asked = ~noise & ~df["heading"].to_numpy(bool) & ~df["role"].isin(["heading", "cell"]).to_numpy()
             kinds |= {t: kind_of(t) is not None for t in set(names[asked]) if t not in kinds}
             residue = [kinds[t] if a else None for t, a in zip(names, asked, strict=True)]
             by = np.where(low, "tree", np.where(skip, "control", "model"))
-            yield pd.DataFrame({"page_id": df["page_id"], "node_id": df["node_id"], "role": df["role"], "heading": df["heading"], "name": names, "importance": 1 / (1 + np.exp(-np.where(skip, np.minimum(z, -2), z))), "noise": noise, "residue": residue, "decided_by": by})
+            rows = pd.DataFrame({"page_id": df["page_id"], "node_id": df["node_id"], "role": df["role"], "heading": df["heading"], "name": names, "importance": 1 / (1 + np.exp(-np.where(skip, np.minimum(z, -2), z))), "noise": noise, "residue": residue, "decided_by": by})
+            yield rows[rows["residue"].eq(False)] if prose else rows
 
     return tree_rows(leaves, marks).mapInPandas(run, out)
