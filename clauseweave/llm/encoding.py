@@ -305,7 +305,7 @@ def damaged_among(counts: DataFrame, ratio: float = 4.0) -> DataFrame:
     by_count = (F.col("rfreq") >= 2) & (F.col("rfreq") >= least) & F.col("rcore").rlike(LETTER + "|[–—“”‘’„]")
     cand = cand.where(F.when(F.col("how") == "lost bytes", True).when(F.col("structural"), by_utf8).otherwise(by_count))
     best = cand.groupBy("core").agg(F.max_by(F.struct("reading", "how"), F.struct("rfreq", "structural", ~F.col("reading").contains(LOST) & (F.col("how") != "lost bytes"), "reading")).alias("b"))
-    best = best.select("core", F.when(~F.col("b.reading").contains(LOST), F.col("b.reading")).alias("reading"), "b.how")
+    best = cut(best.select("core", F.when(~F.col("b.reading").contains(LOST), F.col("b.reading")).alias("reading"), "b.how"))
     c1 = odd.where(F.col("core").rlike(r"[\x{80}-\x{84}\x{86}-\x{9f}]")).select("core")
     rest = c1.join(best, "core", "left_anti").select("core", F.lit(None).cast("string").alias("reading"), F.lit("control characters").alias("how"))
     return best.unionByName(rest)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from clauseweave.llm import language as L, query_language as Q, site_tree as S
-from clauseweave.llm.encoding import garbled_ids
+from clauseweave.llm.encoding import damaged_words, garbled_ids
 from clauseweave.plans.session import table
 
 
@@ -69,3 +69,11 @@ def test_sentence_ends():
     """The sign stays with its sentence, marks after it and line ends go, abbreviations and lower case don't end one."""
     assert L.sentences("A b.” C d! e f?\n\ng h.\ni Art. 5 J.") == ["A b.", "C d! e f?", "g h.", "i Art. 5 J."]
     assert L.sentences("\r\n.\n") == ["."] and L.sentences("") == []
+
+
+def test_damaged_words_are_judged_once(spark):
+    """The readings aren't computed again for the words that have none."""
+    d = spark.createDataFrame([(1, "für"), (2, "für Ã¼ber"), (3, "fÃ¼r a\x81b")], "doc_id long, text string")
+    bad = damaged_words(d)
+    assert "MapInPandas" not in bad._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.core: r.reading for r in bad.collect()} == {"fÃ¼r": "für", "Ã¼ber": "über", "a\x81b": None}
