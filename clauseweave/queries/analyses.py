@@ -200,11 +200,11 @@ def extended_graph(spark, folder):
     return O.extend_graph(edges(spark, folder), o, n)
 
 
-@q("accept_unspecific", f"WITH RECURSIVE {KG}, {TYPES}, dt AS (SELECT policy_id, node FROM types WHERE type = 'DATA') SELECT policy_id, src, dst, key FROM col UNION SELECT c.policy_id, c.src, d.node, c.key FROM col c JOIN dt d ON d.policy_id = c.policy_id WHERE {VAGUE.format('c.dst')} AND c.dst LIKE 'usage %'")
+@q("accept_unspecific", f"WITH RECURSIVE {KG}, {TYPES}, dt AS (SELECT policy_id, node FROM types WHERE type = 'DATA') SELECT policy_id, src, dst, key FROM col UNION SELECT c.policy_id, c.src, d.node, c.key FROM col c JOIN dt d ON d.policy_id = c.policy_id WHERE {VAGUE.format('c.dst')}")
 def accept_unspecific(spark, folder):
     """GQ-19, GQ-20: an edge to an unspecific term counts for every data type of its policy."""
     e = edges(spark, folder)
     c = G.collect_like(e)
-    mark = c.withColumn("dst", F.when(F.col("dst").rlike(" (information|data|details)$") & F.col("dst").like("usage %"), "UNSPECIFIED_DATA").otherwise(F.col("dst")))
+    mark = c.withColumn("dst", F.when(F.col("dst").rlike(" (information|data|details)$"), "UNSPECIFIED_DATA").otherwise(F.col("dst")))
     wide = O.accept_unspecific(mark, G.node_types(e).where("type = 'DATA'"))
     return wide.where("dst <> 'UNSPECIFIED_DATA'").unionByName(c).distinct()
