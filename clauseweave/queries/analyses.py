@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from clauseweave.operators import analyses as A, graph as G, ontology as O
+from clauseweave.operators import analyses as A, graph as G, ontology as O, policies as P
 from clauseweave.operators.kgraph import KGraph
 from clauseweave.plans.registry import CORE
 from clauseweave.plans.session import cut, table
-from clauseweave.queries.graphs import BASE, edges, subsum
+from clauseweave.queries.graphs import BASE, edges, graphs_of, subsum, who_collect
 from clauseweave.queries.sqlparts import KG, KGE, REACH, TYPES
 
 q = CORE.add
@@ -203,7 +203,11 @@ def extended_graph(spark, folder):
 @q("accept_unspecific", f"WITH RECURSIVE {KG}, {TYPES}, dt AS (SELECT policy_id, node FROM types WHERE type = 'DATA') SELECT policy_id, src, dst, key FROM col UNION SELECT c.policy_id, c.src, d.node, c.key FROM col c JOIN dt d ON d.policy_id = c.policy_id WHERE {VAGUE.format('c.dst')}")
 def accept_unspecific(spark, folder):
     """GQ-19, GQ-20: an edge to an unspecific term counts for every data type of its policy."""
-    e = edges(spark, folder)
+    return P.answers(table(spark, folder, "kg_edges"), P.Policy.accept_unspecific, "src string, dst string, key string", joined_unspecific)
+
+
+def joined_unspecific(kg):
+    e = cut(G.edges_of(kg))
     c = G.collect_like(e)
     mark = c.withColumn("dst", F.when(F.col("dst").rlike(" (information|data|details)$"), "UNSPECIFIED_DATA").otherwise(F.col("dst")))
     wide = O.accept_unspecific(mark, G.node_types(e).where("type = 'DATA'"))

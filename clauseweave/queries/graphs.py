@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clauseweave.operators import graph as G, kgraph as K
+from clauseweave.operators import graph as G, kgraph as K, policies as P
 from clauseweave.plans.registry import CORE
 from clauseweave.plans.session import cut, table
 from clauseweave.queries.sqlparts import KG, KGE, REACH, TYPES
@@ -12,6 +12,11 @@ def edges(spark, folder):
     return cut(G.edges_of(table(spark, folder, "kg_edges")))
 
 
+def graphs_of(kg):
+    """The graphs of a table like kg_edges, by joins."""
+    return K.KGraph(cut(G.edges_of(kg)))
+
+
 def subsum(e):
     return e.where("key = 'SUBSUM'")
 

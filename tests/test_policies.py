@@ -2,7 +2,8 @@
 
 import pytest
 
-from clauseweave.queries import CORE
+from clauseweave.operators import graph as G, kgraph as K, policies as P
+from clauseweave.queries import CORE, analyses as N, graphs as Q
 from oracle import same
 
 KG = "policy_id string, source string, target string, key string, text array<string>, purposes map<string,array<string>>"
@@ -27,3 +28,28 @@ def test_every_unspecific_term_counts_for_every_data_type(spark, folder):
     got = {tuple(r) for r in CORE.queries[name](spark, folder).select("policy_id", "src", "dst", "key").collect()}
     assert {("p", "we", x, "COLLECT") for x in ("email address", "home address", "usage data", "click", "odd", "even")} <= got and ("q", "advertiser", "card number", "NOT_COLLECT") in got
     same(CORE.queries[name], CORE.oracles[name], spark, folder)
+
+
+# Each is answered in one pass over small policies, and by joins over large ones.
+ONE_PASS = [
+    "accept_unspecific",
+]
+
+
+@pytest.mark.parametrize("name", ONE_PASS)
+def test_small_policies_write_no_closures(spark, folder, name, monkeypatch):
+    """The closures of small policies don't go to disk; they were many times the edges' size."""
+
+    def no_cut(df):
+        raise AssertionError("a checkpoint")
+
+    for m in (G, K, Q, N, P):
+        if hasattr(m, "cut"):
+            monkeypatch.setattr(m, "cut", no_cut)
+    same(CORE.queries[name], CORE.oracles[name], spark, folder)
+
+
+@pytest.mark.parametrize("name", ONE_PASS)
+def test_large_policies_go_through_joins(spark, folder, name, monkeypatch):
+    monkeypatch.setattr(P, "MOST", 2)
+    same(CORE.queries[name], CORE.oracles[name], spark, folder)
