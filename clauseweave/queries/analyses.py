@@ -122,7 +122,7 @@ def category(c):
 @q("summary_entity_matrix", f"{BASE}, s AS (SELECT {CLASSES.format('datatype')} AS data_class, {CATS.format('entity')} AS cat, policy_id FROM who WHERE NOT starts_with(key, 'NOT_')) SELECT data_class, " + ", ".join(f"count(DISTINCT policy_id) FILTER (cat = '{c}') AS \"{c}\"" for c in ("first party", "service", "advertising", "other")) + " FROM s GROUP BY ALL")
 def summary_entity_matrix(spark, folder):
     """ANA-14, ANA-15, AGG-12, D19: how many policies let whom collect which class of data."""
-    w = KGraph(edges(spark, folder)).who_collect().select(F.regexp_extract("datatype", "([a-z]+)$", 1).alias("data_class"), category(F.col("entity")).alias("cat"), "policy_id").distinct()
+    w = who_collect(spark, folder).select(F.regexp_extract("datatype", "([a-z]+)$", 1).alias("data_class"), category(F.col("entity")).alias("cat"), "policy_id").distinct()
     return w.groupBy("data_class").pivot("cat", ["first party", "service", "advertising", "other"]).agg(F.count("policy_id")).fillna(0)
 
 

@@ -130,7 +130,7 @@ BASE = f"WITH RECURSIVE {KG}, {REACH}, {TYPES}, {WHO}"
 @CORE.add("who_collect", f"{BASE} SELECT DISTINCT policy_id, entity, datatype FROM who WHERE NOT starts_with(key, 'NOT_')")
 def who_collect(spark, folder):
     """GQ-05, GQ-07, GQ-16: entity is-a e' that collects d' that subsumes datatype."""
-    return K.KGraph(edges(spark, folder)).who_collect()
+    return P.answers(table(spark, folder, "kg_edges"), P.Policy.who_collect, "entity string, datatype string", lambda kg: graphs_of(kg).who_collect())
 
 
 @CORE.add("cannot_collect", f"{BASE} SELECT DISTINCT policy_id, entity, datatype FROM who WHERE starts_with(key, 'NOT_')")
