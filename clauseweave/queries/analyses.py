@@ -20,8 +20,12 @@ FLOW = f"{BASE}, {PROBE_SQL}, {PLAIN}, {STATUS}"
 
 
 def statuses(spark, folder):
-    e = edges(spark, folder)
-    k = KGraph(e)
+    return P.answers(table(spark, folder, "kg_edges"), P.Policy.consistency, "entity string, datatype string, collection_consistency string, entity_consistency string", joined_statuses)
+
+
+def joined_statuses(kg):
+    k = graphs_of(kg)
+    e = k.edges
     c = G.collect_like(e)
     types = k.types
     data = subsum(e).select("policy_id", F.col("dst").alias("node")).join(types.where("type = 'DATA'"), ["policy_id", "node"], "left_semi")
