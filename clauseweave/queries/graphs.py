@@ -148,7 +148,7 @@ def subsum_pairs(spark, folder):
 @CORE.add("validate_collection", f"{BASE} SELECT DISTINCT policy_id, datatype FROM who WHERE NOT starts_with(key, 'NOT_')")
 def validate_collection(spark, folder):
     """GQ-15, JON-04, OPT-07: data types that someone collects."""
-    return K.KGraph(edges(spark, folder)).validate_collection()
+    return P.answers(table(spark, folder, "kg_edges"), P.Policy.validate_collection, "datatype string", lambda kg: graphs_of(kg).validate_collection())
 
 
 @CORE.add("purposes_shortest", f"""WITH RECURSIVE {KG}, {KGE}, {REACH}, {TYPES}, {WHO}, best AS (SELECT policy_id, entity, datatype, min(dist) AS dist FROM who WHERE NOT starts_with(key, 'NOT_') GROUP BY ALL)
