@@ -136,7 +136,7 @@ def who_collect(spark, folder):
 @CORE.add("cannot_collect", f"{BASE} SELECT DISTINCT policy_id, entity, datatype FROM who WHERE starts_with(key, 'NOT_')")
 def cannot_collect(spark, folder):
     """GQ-06."""
-    return K.KGraph(edges(spark, folder)).cannot_collect()
+    return P.answers(table(spark, folder, "kg_edges"), P.Policy.cannot_collect, "entity string, datatype string", lambda kg: graphs_of(kg).cannot_collect())
 
 
 @CORE.add("subsum_pairs", f"WITH RECURSIVE {KG}, {REACH}, {TYPES} SELECT r.policy_id, t.type, r.src AS wide, r.dst AS narrow, r.dist::INT AS dist FROM reach0 r JOIN types t ON t.policy_id = r.policy_id AND t.node = r.src JOIN types u ON u.policy_id = r.policy_id AND u.node = r.dst AND u.type = t.type")
