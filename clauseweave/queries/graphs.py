@@ -142,7 +142,7 @@ def cannot_collect(spark, folder):
 @CORE.add("subsum_pairs", f"WITH RECURSIVE {KG}, {REACH}, {TYPES} SELECT r.policy_id, t.type, r.src AS wide, r.dst AS narrow, r.dist::INT AS dist FROM reach0 r JOIN types t ON t.policy_id = r.policy_id AND t.node = r.src JOIN types u ON u.policy_id = r.policy_id AND u.node = r.dst AND u.type = t.type")
 def subsum_pairs(spark, folder):
     """GQ-08, GQ-09, GQ-10: reflexive hypernymy between nodes of one type."""
-    return K.KGraph(edges(spark, folder)).subsum_pairs()
+    return P.answers(table(spark, folder, "kg_edges"), P.Policy.subsum_pairs, "type string, wide string, narrow string, dist int", lambda kg: graphs_of(kg).subsum_pairs())
 
 
 @CORE.add("validate_collection", f"{BASE} SELECT DISTINCT policy_id, datatype FROM who WHERE NOT starts_with(key, 'NOT_')")
