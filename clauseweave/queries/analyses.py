@@ -148,8 +148,12 @@ def summary_totals(spark, folder):
     SELECT policy_id, min(term) AS term FROM cov WHERE EXISTS (SELECT 1 FROM who w WHERE w.policy_id = cov.policy_id AND w.datatype = cov.term AND NOT starts_with(w.key, 'NOT_') AND w.entity NOT IN ('we', 'us')) GROUP BY policy_id""")
 def generic_term_sharing(spark, folder):
     """ANA-16, AGG-09, SRT-06: the first term over several classes that a third party collects."""
-    k = KGraph(edges(spark, folder))
-    wide = k.reach.where("dist > 0").join(k.types.where("type = 'DATA'").select("policy_id", F.col("node").alias("src")), ["policy_id", "src"], "left_semi")
+    return P.answers(table(spark, folder, "kg_edges"), P.Policy.generic_term, "term string", joined_generic_terms)
+
+
+def joined_generic_terms(kg):
+    k = graphs_of(kg)
+    wide = G.closure(subsum(k.edges)).join(k.types.where("type = 'DATA'").select("policy_id", F.col("node").alias("src")), ["policy_id", "src"], "left_semi")
     wide = wide.groupBy("policy_id", F.col("src").alias("datatype")).agg(F.countDistinct(F.regexp_extract("dst", "([a-z]+)$", 1)).alias("n")).where("n > 1")
     third = k.who_collect().where(~F.col("entity").isin("we", "us"))
     return wide.join(third, ["policy_id", "datatype"], "left_semi").groupBy("policy_id").agg(F.min("datatype").alias("term"))
