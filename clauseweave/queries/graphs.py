@@ -155,8 +155,12 @@ def validate_collection(spark, folder):
     SELECT DISTINCT w.policy_id, w.entity, w.datatype, p.label FROM who w JOIN best b USING (policy_id, entity, datatype, dist) JOIN purp p ON p.policy_id = w.policy_id AND p.src = w.via_src AND p.dst = w.via_dst AND p.key = w.key WHERE NOT starts_with(w.key, 'NOT_')""")
 def purposes_shortest(spark, folder):
     """GQ-12, GQ-14, GRA-03: purposes on all shortest paths."""
-    full = cut(G.clean_edges(table(spark, folder, "kg_edges")))
-    return K.KGraph(full.select("policy_id", "src", "dst", "key")).purposes(full)
+
+    def joined(kg):
+        full = cut(G.clean_edges(kg))
+        return K.KGraph(full.select("policy_id", "src", "dst", "key")).purposes(full)
+
+    return P.answers(table(spark, folder, "kg_edges"), P.Policy.purposes, "entity string, datatype string, label string", joined, labels=True)
 
 
 @CORE.add("evidence_text", f"""WITH RECURSIVE {KG}, {KGE}, {REACH}, {TYPES}, t AS (SELECT r.policy_id, r.src AS wide, r.dst AS narrow, e.sentence FROM reach r JOIN sub s ON s.policy_id = r.policy_id
