@@ -32,7 +32,7 @@ def test_every_unspecific_term_counts_for_every_data_type(spark, folder):
 
 # Each is answered in one pass over small policies, and by joins over large ones.
 ONE_PASS = [
-    "accept_unspecific", "summary_entity_matrix", "system_comparison", "validate_collection", "cannot_collect", "flow_consistency", "subsum_pairs", "consistency_rollup", "generic_term_sharing", "purposes_shortest",
+    "accept_unspecific", "summary_entity_matrix", "system_comparison", "validate_collection", "cannot_collect", "flow_consistency", "subsum_pairs", "consistency_rollup", "generic_term_sharing", "purposes_shortest", "who_collect",
 ]
 
 
