@@ -1,34 +1,44 @@
 """Patterns and rules over all graphs: each edge is put into a sentence for each pattern or rule, and must come out again."""
 
-from pyspark.sql import functions as F
+import pandas as pd
 
-from clauseweave.operators import annotate as A, statements as S, tokens as T
+from clauseweave.operators import graph as G, policies as P, sentences as Z
 from clauseweave.plans.registry import CORE
-from clauseweave.plans.session import ship, stash
-from clauseweave.queries.graphs import edges
+from clauseweave.plans.session import table
 from clauseweave.queries.pattern_tokens import PATTERN_SENTENCES, RULE_SENTENCES, rows
 from clauseweave.queries.sqlparts import KG
 
 q = CORE.add
-SEP = "\x1f"
 
 
-def sentences(spark, pairs, templates, wide, narrow):
-    """Token rows of each (policy_id, src, dst) in each template; the tokens ``wide`` and ``narrow`` show src and dst."""
-    ship(spark)
-    t = F.broadcast(spark.createDataFrame(rows(templates), T.SCHEMA))  # a constant of some 150 tokens
-    x = pairs.select("policy_id", F.col("src").alias("_s"), F.col("dst").alias("_d")).crossJoin(t)
-    x = x.withColumn("doc", F.concat_ws(SEP, "policy_id", "doc", "_s", "_d"))
-    w, n = F.col("text").isin(wide), F.when(F.col("doc").contains(SEP + "data "), F.col("text") == "data").otherwise(F.col("text") == narrow)
-    return stash(x.withColumn("text", F.when(w, F.col("_s")).when(n, F.col("_d")).otherwise(F.col("text"))).select(*[c.split()[0] for c in T.SCHEMA.split(", ")]))
+def templates(told):
+    """(template, its tokens) with a full stop, so that no term at the end makes a question of a sentence."""
+    by = {}
+    for doc, _, *t in rows(told):
+        by.setdefault(doc, []).append(tuple(t))
+    return [(doc, [*ts, (len(ts), ".", ".", "PUNCT", "punct", next(t[0] for t in ts if t[4] == "ROOT"), None, "O")]) for doc, ts in by.items()]
 
 
-def told(links, tokens, *keep):
-    """(policy_id, template, src, dst, keep): the links with the texts of their ends."""
-    for c in ("src", "dst"):
-        links = links.join(tokens.select(*T.SENTENCE, F.col("i").alias(c), F.col("text").alias(f"{c}_text")), [*T.SENTENCE, c])
-    part = F.split("doc", SEP)
-    return links.select(part[0].alias("policy_id"), part[1].alias("template"), F.col("src_text").alias("src"), F.col("dst_text").alias("dst"), *keep).distinct()
+def readings(told, wide, src, dst):
+    """(template, sentence): src and dst in each of the templates; the tokens ``wide`` show src, "names", or "data" in templates that begin with it, dst."""
+    for name, tokens in told:
+        narrow = "data" if name.startswith("data ") else "names"
+        yield name, Z.Sentence([(i, src if text in wide else dst if text == narrow else text, *rest) for i, text, *rest in tokens])
+
+
+def through(spark, folder, key, tell, columns):
+    """(policy_id, columns): what ``tell`` gives for (src, dst) of each edge with ``key``, once for each policy."""
+
+    def joined(kg):
+        def run(batches):
+            for b in batches:
+                out = [(p, *r) for p, s, d in zip(b["policy_id"], b["src"], b["dst"], strict=True) for r in tell(s, d)]
+                yield pd.DataFrame(out, columns=["policy_id", *(c.split()[0] for c in columns.split(", "))])
+
+        e = G.edges_of(kg).where(f"key = '{key}' and src <> dst").select("policy_id", "src", "dst")
+        return e.mapInPandas(run, "policy_id string, " + columns).distinct()
+
+    return P.answers(table(spark, folder, "kg_edges"), lambda g: {r for s, d, k in g.labels if k == key and s != d for r in tell(s, d)}, columns, joined)
 
 
 NAMES = ", ".join(f"('{k}')" for k in PATTERN_SENTENCES if k != "some_of")
@@ -37,9 +47,12 @@ NAMES = ", ".join(f"('{k}')" for k in PATTERN_SENTENCES if k != "some_of")
 @q("pattern_links", f"WITH {KG}, p(template) AS (VALUES {NAMES}) SELECT policy_id, template, src, dst FROM sub CROSS JOIN p WHERE src <> dst UNION SELECT policy_id, 'some_of', src, 'some' FROM sub WHERE src <> dst")
 def pattern_links(spark, folder):
     """ANN-01..15, ANN-28, TOK-10: every hypernymy pattern over every SUBSUM edge."""
-    e = edges(spark, folder).where("key = 'SUBSUM' and src <> dst")
-    t = sentences(spark, e, PATTERN_SENTENCES, ["data"], "names")
-    return told(A.Subsumption().transform(t), t)
+    told = templates(PATTERN_SENTENCES)
+
+    def tell(src, dst):
+        return ((name, s.text[u], s.text[x]) for name, s in readings(told, ("data",), src, dst) for u, x, _ in Z.subsumption(s))
+
+    return through(spark, folder, "SUBSUM", tell, "template string, src string, dst string")
 
 
 # What each rule must tell of the edge (SRC, DST): the actor and the key.
@@ -57,8 +70,9 @@ TOLD_SQL = ", ".join(f"('{r}', '{a}', '{k}')" for r, a, k in TOLD)
 @q("rule_statements", f"WITH {KG}, e AS (SELECT DISTINCT policy_id, src, dst FROM kg WHERE key = 'COLLECT' AND src <> dst), t(template, actor, key) AS (VALUES {TOLD_SQL}) SELECT DISTINCT policy_id, template, CASE WHEN actor = 'SRC' THEN src ELSE actor END AS src, dst, t.key FROM e CROSS JOIN t")
 def rule_statements(spark, folder):
     """COL-01..17: every statement rule over every COLLECT edge."""
-    e = edges(spark, folder).where("key = 'COLLECT' and src <> dst").select("policy_id", "src", "dst").distinct()
-    t = sentences(spark, e, RULE_SENTENCES, ["We", "we"], "names")
-    ends = F.split("doc", SEP)
-    s = told(S.statements(t).withColumn("about", ends[3]), t, "key", "about")
-    return s.where("dst = about").drop("about")
+    told = templates(RULE_SENTENCES)
+
+    def tell(src, dst):
+        return ((name, s.text[a], dst, key) for name, s in readings(told, ("We", "we"), src, dst) for a, d, key, _ in Z.statements(s) if s.text[d] == dst)
+
+    return through(spark, folder, "COLLECT", tell, "template string, src string, dst string, key string")
