@@ -9,7 +9,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["pattern_links"])
+@pytest.mark.parametrize("name", ["pattern_links", "rule_statements"])
 @pytest.mark.parametrize("most", [1000, 1])
 def test_every_edge_through_every_template(spark, tmp_path, name, most, monkeypatch):
     """Terms that begin with "data ", repeats, loops, and terms that look like signs or tokens of the templates."""
