@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clauseweave.operators import annotate as A, build as B, graph as G, normalize as N, provider as R, statements as S, tokens as T
 from clauseweave.operators.segments import annotation_documents
-from clauseweave.operators.sentences import annotate_documents, noun_phrase_rows
+from clauseweave.operators.sentences import annotate_documents, noun_phrase_rows, purpose_rows
 from clauseweave.plans.registry import CORE
 from clauseweave.plans.session import cut, ship, stash, table
 from clauseweave.queries.fixture_tokens import rows, values
@@ -173,7 +173,7 @@ def parsed_first_party(spark, folder):
 @q("parsed_purposes")
 def parsed_purposes(spark, folder):
     """ANN-24..26."""
-    return A.Purposes().transform(parsed(spark, folder))
+    return purpose_rows(R.english(seg(spark, folder)))
 
 
 @q("parsed_data_subjects")
