@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clauseweave.operators import annotate as A, build as B, graph as G, normalize as N, provider as R, statements as S, tokens as T
 from clauseweave.operators.segments import annotation_documents
-from clauseweave.operators.sentences import annotate_documents, noun_phrase_rows, purpose_rows
+from clauseweave.operators.sentences import annotate_documents, noun_phrase_rows, purpose_rows, subsumption_rows
 from clauseweave.plans.registry import CORE
 from clauseweave.plans.session import cut, ship, stash, table
 from clauseweave.queries.fixture_tokens import rows, values
@@ -155,7 +155,7 @@ def parsed_include(spark, folder):
 @q("parsed_subsumption")
 def parsed_subsumption(spark, folder):
     """ANN-01..15, ANN-28, ANN-30."""
-    return A.Subsumption().transform(parsed(spark, folder))
+    return subsumption_rows(R.english(seg(spark, folder)))
 
 
 @q("parsed_coreference")

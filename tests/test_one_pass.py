@@ -7,7 +7,7 @@ from clauseweave.queries import CORE
 from clauseweave.queries.language import parsed
 from oracle import same
 
-JOINS = {"parsed_purposes": lambda t: A.Purposes().transform(t)}
+JOINS = {"parsed_purposes": lambda t: A.Purposes().transform(t), "parsed_subsumption": lambda t: A.Subsumption().transform(t)}
 
 
 def plan(df):
