@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clauseweave.operators import annotate as A, build as B, graph as G, normalize as N, provider as R, statements as S, tokens as T
 from clauseweave.operators.segments import annotation_documents
-from clauseweave.operators.sentences import annotate_documents, noun_phrase_rows, purpose_rows, subsumption_rows
+from clauseweave.operators.sentences import annotate_documents, noun_phrase_rows, purpose_rows, stem_rows, subsumption_rows
 from clauseweave.plans.registry import CORE
 from clauseweave.plans.session import cut, ship, stash, table
 from clauseweave.queries.fixture_tokens import rows, values
@@ -113,7 +113,7 @@ def collect_share_rules(spark, folder):
 @q("phrase_stems")
 def phrase_stems(spark, folder):
     """TOK-08, TOK-09."""
-    return T.phrase_stems(parsed(spark, folder))
+    return stem_rows(R.english(seg(spark, folder)))
 
 
 @q("parsed_entity_spans")

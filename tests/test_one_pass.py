@@ -2,12 +2,12 @@
 
 import pytest
 
-from clauseweave.operators import annotate as A
+from clauseweave.operators import annotate as A, tokens as T
 from clauseweave.queries import CORE
 from clauseweave.queries.language import parsed
 from oracle import same
 
-JOINS = {"parsed_purposes": lambda t: A.Purposes().transform(t), "parsed_subsumption": lambda t: A.Subsumption().transform(t)}
+JOINS = {"parsed_purposes": lambda t: A.Purposes().transform(t), "parsed_subsumption": lambda t: A.Subsumption().transform(t), "phrase_stems": T.phrase_stems}
 
 
 def plan(df):
